@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterable, Iterator
+from uuid import uuid4
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one step of an Arrow kernel handles at once; bounds the memory of a Python worker.
@@ -56,3 +57,9 @@ def bounded_sample(df: DataFrame, key: str, most: int) -> DataFrame:
     """At most ``most`` rows, the first by a hash of ``key``; the same rows on every run."""
     order = F.xxhash64(F.col(key).cast("string"), F.lit("sample"))
     return df.withColumn("_h", order).orderBy("_h", key).limit(most).drop("_h")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder for tables beside the checkpoints, seen by the driver and all executors."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tables-")
+    return f"{top.rstrip('/')}/tables-{uuid4().hex}"
