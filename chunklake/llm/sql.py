@@ -2,4 +2,84 @@
 
 from __future__ import annotations
 
-ORACLE_SQL: dict[str, str] = {}
+_LINE_DEDUP = """
+WITH l AS (
+  SELECT doc_id, coalesce(source, '') AS site, text, string_split(text, chr(10)) AS lines FROM documents
+), totals AS (
+  SELECT site, count(*) AS pages FROM l GROUP BY site
+), counts AS (
+  SELECT site, line, count(*) AS n
+  FROM (SELECT site, unnest(list_distinct(list_filter(lines, lambda x: trim(x, ' ') <> ''))) AS line FROM l)
+  GROUP BY site, line HAVING count(*) >= 3
+), boiler AS (
+  SELECT site, list(line) AS drops FROM counts JOIN totals USING (site) WHERE n > 0.01::DOUBLE * pages GROUP BY site
+), kept AS (
+  SELECT doc_id, text, lines, CASE WHEN drops IS NULL THEN lines ELSE list_filter(lines, lambda x: NOT list_contains(drops, x)) END AS k
+  FROM l LEFT JOIN boiler USING (site)
+)
+SELECT doc_id,
+       CASE WHEN text IS NULL THEN NULL ELSE coalesce(array_to_string(k, chr(10)), '') END AS text,
+       coalesce(len(lines), 0)::BIGINT AS n_lines,
+       (coalesce(len(lines), 0) - coalesce(len(k), 0))::BIGINT AS n_dropped
+FROM kept
+"""
+
+
+def _level(nodes: str, parent: str, path: str, name: str, source: str) -> str:
+    """CTEs that deal the budget of each ``parent`` in ``source`` out to its children."""
+    return f"""
+{nodes}_n AS (
+  SELECT {path}, sum(tokens) AS tokens, sum(tokens) * 4 AS cap, floor(sqrt(sum(tokens)::DOUBLE))::BIGINT AS weight
+  FROM leaves GROUP BY {path}
+), {nodes}_o AS (
+  SELECT n.*, s.budget, {name} AS name, cap::DOUBLE / weight::DOUBLE AS ratio FROM {nodes}_n n JOIN {source} s USING ({parent})
+), {nodes}_c AS (
+  SELECT *, (budget - coalesce(sum(cap) OVER (PARTITION BY {parent} ORDER BY ratio, name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE AS room,
+         (sum(weight) OVER (PARTITION BY {parent} ORDER BY ratio, name ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS weight_from
+  FROM {nodes}_o
+), {nodes}_f AS (
+  SELECT *, min(CASE WHEN cap::DOUBLE * weight_from <= weight::DOUBLE * room THEN 1 ELSE 0 END)
+         OVER (PARTITION BY {parent} ORDER BY ratio, name ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sated
+  FROM {nodes}_c
+), {nodes}_r AS (
+  SELECT *, budget::DOUBLE - coalesce(sum(CASE WHEN sated = 1 THEN cap END) OVER (PARTITION BY {parent}), 0)::DOUBLE AS rest,
+         (sum(CASE WHEN sated = 0 THEN weight END) OVER (PARTITION BY {parent}))::DOUBLE AS weights
+  FROM {nodes}_f
+), {nodes} AS (
+  SELECT {path}, tokens, (CASE WHEN sated = 1 THEN cap WHEN weights > 0 THEN least(cap, floor(weight::DOUBLE * rest / weights)) ELSE 0 END)::BIGINT AS budget
+  FROM {nodes}_r
+)"""
+
+
+_MIXING = f"""
+WITH d AS (
+  SELECT doc_id,
+         CASE WHEN regexp_extract(coalesce(source, ''), '([0-9]{{{{1,9}}}})$', 1) <> ''
+              THEN 'domain' || (regexp_extract(source, '([0-9]{{{{1,9}}}})$', 1)::INT % 4)::VARCHAR ELSE 'other' END AS domain,
+         coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         coalesce(len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\x0B]+')), 0)::BIGINT AS tokens
+  FROM documents
+), units AS (
+  SELECT doc_id, domain, lang, source, sum(tokens)::BIGINT AS tokens FROM d GROUP BY ALL
+), leaves AS (
+  SELECT 0 AS root, domain, lang, source, sum(tokens)::BIGINT AS tokens FROM units GROUP BY ALL HAVING sum(tokens) > 0
+), top AS (
+  SELECT 0 AS root, sum(tokens)::BIGINT AS budget FROM leaves
+), {{domains}}, {{langs}}, {{sources}}, placed AS (
+  SELECT u.doc_id, u.domain, u.lang, u.source, u.tokens, p.budget, p.budget // p.tokens AS epoch, p.budget % p.tokens AS rest,
+         md5('17:' || (p.budget // p.tokens)::VARCHAR || ':' || coalesce(u.doc_id::VARCHAR, '')) AS key
+  FROM units u LEFT JOIN sources p USING (domain, lang, source)
+)
+SELECT doc_id, domain, lang, source, tokens, coalesce(budget, 0)::BIGINT AS budget,
+       (coalesce(epoch, 0) + CASE WHEN sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING) <= rest THEN 1 ELSE 0 END)::INT AS copies
+FROM placed
+""".format(
+    domains=_level("domains", "root", "root, domain", "domain", "top"),
+    langs=_level("langs", "domain", "domain, lang", "lang", "domains"),
+    sources=_level("sources", "domain, lang", "domain, lang, source", "source", "langs"),
+)
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": _LINE_DEDUP,
+    "op9_mixing": _MIXING,
+}
