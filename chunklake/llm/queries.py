@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunklake.llm import decontam, langid, line_dedup, main_text, mixing, quality, shards, simhash, toxicity
+from chunklake.llm import audio, decontam, langid, line_dedup, main_text, mixing, quality, shards, simhash, toxicity
 from chunklake.llm.common import crc_mod
 
 
@@ -27,6 +27,12 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "language.lang_pred", "language.score", "language.rejected")
 
 
+def op3_chroma_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors of ``embeddings``, sounded as notes, stand in for recordings: every 20th searched among all."""
+    prints = audio.fingerprints(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", decode=audio.notes)
+    return audio.search(prints, F.col("id") % 20 == 0).withColumnRenamed("id", "vec_id")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -76,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_line_dedup,
         op2_language_id,
+        op3_chroma_search,
         op4_decontamination,
         op5_sharding,
         op6_main_text,
