@@ -107,7 +107,7 @@ def pack_frames(chunks: DataFrame, frame_size: int, writer: str = "writer") -> D
                 held, k = 0, k + 1
         return pdf.assign(frame=frames)
 
-    schema = kept.schema.add("frame", T.IntegerType())
+    schema = T.StructType([*kept.schema.fields, T.StructField("frame", T.IntegerType())])
     return kept.groupBy(writer).applyInPandas(cut, schema)
 
 
