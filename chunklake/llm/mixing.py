@@ -12,6 +12,8 @@ from chunklake.llm.common import cut
 LEVELS = ("domain", "lang", "source")
 #: Rows of a leaf's sample order that a bucket holds, about; a bucket is ordered in one task.
 BUCKET_ROWS = 10_000
+#: Rows of the tree or of the bucket sums up to which they are broadcast; larger ones are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 
 
 def tokens(text: Column) -> Column:
@@ -91,11 +93,12 @@ def mix(docs: DataFrame, share: float = 1.0, max_epochs: int = 4, seed: int = 17
     most = totals.agg(F.max("n")).first()[0] or 1
     digits = max(1, math.ceil(math.log(max(1, most / BUCKET_ROWS), 16)))
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary"))
-    ordered = units.join(plan, leaf, "left").withColumn("key", key).withColumn("bucket", F.substring("key", 1, digits))
+    n_leaves = totals.count()
+    ordered = units.join(F.broadcast(plan) if n_leaves <= BROADCAST_ROWS else plan, leaf, "left").withColumn("key", key).withColumn("bucket", F.substring("key", 1, digits))
     sums = ordered.groupBy(*leaf, "bucket").agg(F.sum("tokens").alias("in_bucket"))
     running = Window.partitionBy(*leaf).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = cut(sums.withColumn("before", F.coalesce(F.sum("in_bucket").over(running), F.lit(0))))
-    placed = ordered.join(sums, [*leaf, "bucket"])
+    placed = ordered.join(F.broadcast(sums) if n_leaves * 16**digits <= BROADCAST_ROWS else sums, [*leaf, "bucket"])
     at_edge = (F.col("before") <= F.col("rest")) & (F.col("before") + F.col("in_bucket") > F.col("rest"))
     within = Window.partitionBy(*leaf, "bucket").orderBy("key", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = ["id", *leaf, "tokens", "budget"]
