@@ -9,14 +9,31 @@ from chunklake import schema
 from chunklake.functions import scalars
 
 
-def scan(spark: SparkSession, folder: str, content: bool = True) -> DataFrame:
-    """(path, rel_path, size, modified, content_id, content) of all files below ``folder``; unreadable ones are left out."""
+def scan(spark: SparkSession, folder: str, content: bool = True, with_empty: bool = False) -> DataFrame:
+    """(path, rel_path, size, modified, content_id, content) of all files below ``folder``; unreadable ones are left out.
+
+    Spark's reader passes over files of no bytes. With ``with_empty`` they are rows too; the driver
+    then lists the folder's names once more.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).load(folder)
+    if with_empty:
+        files = files.unionByName(_empty_files(spark, folder))
     rel = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), "^" + _quoted("/" + folder.split(":", 1)[-1].strip("/") + "/"), "")
     out = files.select("path", rel.alias("rel_path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("content_id"), "content")
     return out if content else out.drop("content", "content_id")
 
 
+def _empty_files(spark: SparkSession, folder: str) -> DataFrame:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    found, rows = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(at, True), []
+    while found.hasNext():
+        f = found.next()
+        if not f.getLen():
+            rows.append((f.getPath().toString(), f.getModificationTime()))
+    out = spark.createDataFrame(rows, "path string, ms long")
+    return out.select("path", F.timestamp_millis("ms").alias("modificationTime"), F.lit(0).cast("long").alias("length"), F.lit(b"").cast("binary").alias("content"))
+
+
 def _quoted(text: str) -> str:
     return "".join("\\" + c if not c.isalnum() and c not in "/_-" else c for c in text)
 
