@@ -40,6 +40,9 @@ NAMES = frozenset(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 
+#: Tags within a sentence, which part nothing.
+_FREE = frozenset(f"{k}{n}" for k in ("<", "</") for n in INLINE - {"a"})
+
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<>]*(?:>|\Z)|([^<]+|<)",
     re.IGNORECASE | re.DOTALL,
@@ -144,7 +147,7 @@ def extract(html: str, weights: dict[str, float]) -> str:
     if marked >= SHARE * (marked + unmarked) > 0:  # the page marks its content, so what is outside is not content
         plain[OUT, True] = plain[OUT, False] = -LIMIT
         found = [("" if place == OUT else f, t, place) for f, t, place in found]
-    scores = [0.0 if place == NESTED else weights.get(f, plain[place, bool(t)]) * (_n_words(t) if t else 1) for f, t, place in found]
+    scores = [0.0 if place == NESTED else weights.get(f, 0.0 if f in _FREE else plain[place, bool(t)]) * (_n_words(t) if t else 1) for f, t, place in found]
     first, end = best_run(scores)
     blocks: list[list[str]] = [[]]
     for f, text, place in found[first:end]:

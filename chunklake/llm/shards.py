@@ -2,8 +2,9 @@
 
 Documents with equal texts are linked. The copies of a text in one shard are one row, a bundle
 (key, shard, n), so a group of any size has at most one row for each shard. In each round bundles
-move to the shard where most copies of their text are, as far as that shard's quota allows. Texts
-without a copy have no link; they fill the shards afterwards. A global order of (label, key, id) is
+move to the shard where most copies of their text are, as far as that shard's quota allows. Large groups go
+first, while all room is free; the others start where room is left. Texts without a copy have no
+link; they fill the shards afterwards. A global order of (label, key, id) is
 then cut into shards of equal counts, which moves only the few rows by which labels miss the quota.
 """
 
@@ -19,6 +20,8 @@ from chunklake.llm.common import cut
 ROUNDS = 8
 #: Share of a shard that linked rows may take; the others in it take up what labels miss the exact counts by.
 LINKED = 0.95
+#: A group is large from this share of a shard.
+LARGE = 1 / 16
 
 
 def _unit(*columns) -> F.Column:
@@ -30,19 +33,29 @@ def _by_shard(shard: F.Column, values: list[float]) -> F.Column:
     return F.element_at(F.array(*(F.lit(float(v)) for v in values)), shard + 1)
 
 
-def propagate(bundles: DataFrame, quota: float, shards: int, rounds: int = ROUNDS) -> DataFrame:
-    """Bundles (key long, shard int, n long) after label propagation; no shard holds much over ``quota`` rows of them.
+def _loads(bundles: DataFrame, shards: int) -> list[int]:
+    found = {r.shard: r.n for r in bundles.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
+    return [found.get(s, 0) for s in range(shards)]
+
+
+def _fill(u: F.Column, room: list[float]) -> F.Column:
+    """A shard for a number in [0, 1), each as likely as its share of the room."""
+    edges = [sum(room[: s + 1]) / (sum(room) or 1.0) for s in range(len(room))]
+    return reduce(lambda otherwise, s: F.when(u < edges[s], s).otherwise(otherwise), reversed(range(len(room))), F.lit(len(room) - 1))
+
+
+def propagate(bundles: DataFrame, quotas: list[float], rounds: int = ROUNDS) -> DataFrame:
+    """Bundles (key long, shard int, n long) after label propagation; no shard holds much over its quota of their rows.
 
     Each round is a join of the bundles with the best open shard of their key. Shards and rounds are
     few, so only sums by shard come to the driver. A bundle that is large against the room of its
     target moves in part; small ones move whole, a share of them by a hash if room is short.
     """
-    now = cut(bundles)
+    now, shards = cut(bundles), len(quotas)
     for k in range(rounds):
-        load = {r.shard: r.n for r in now.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
-        room = [max(0.0, quota - load.get(s, 0)) for s in range(shards)]
+        room = [max(0.0, q - n) for q, n in zip(quotas, _loads(now, shards), strict=True)]
         place = F.struct("n", F.xxhash64("key", "shard").alias("tie"), "shard")
-        is_open = _by_shard(F.col("shard"), room) >= 1
+        is_open = _by_shard(F.col("shard"), [float(r >= max(1.0, q / 50)) for r, q in zip(room, quotas, strict=True)]) > 0
         best = now.groupBy("key").agg(F.max(F.when(is_open, place)).alias("best"))
         ahead = F.col("best").isNotNull() & (F.col("best") > place)
         wish = cut(now.join(best, "key").select("key", "shard", "n", F.when(ahead, F.col("best.shard")).alias("to")))
@@ -70,11 +83,19 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
     rows = cut(docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("key")))
     total = rows.count()
     quota = total / shards
+    linked = cut(rows.groupBy("key").agg(F.count("*").alias("total")).filter("total > 1"))
+    most = [LINKED * quota] * shards
+    is_large = F.col("total") >= max(2.0, LARGE * quota)  # of large keys there are at most shards / LARGE
     home = F.pmod(F.xxhash64("id", F.lit("home")), F.lit(shards)).cast("int")
-    homes = rows.groupBy("key", home.alias("shard")).agg(F.count("*").alias("n"))
-    linked = homes.groupBy("key").agg(F.sum("n").alias("total")).filter("total > 1").select("key")
-    bundles = propagate(homes.join(linked, "key"), LINKED * quota, shards, rounds)
-    load = {r.shard: r.n for r in bundles.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
+
+    def bundled(keys: DataFrame, at: F.Column) -> DataFrame:
+        return rows.join(keys, "key", "left_semi").groupBy("key", at.alias("shard")).agg(F.count("*").alias("n"))
+
+    large = propagate(bundled(F.broadcast(linked.filter(is_large).select("key")), home), most, rounds)
+    left = [max(0.0, q - n) for q, n in zip(most, _loads(large, shards), strict=True)]
+    small = propagate(bundled(linked.filter(~is_large).select("key"), _fill(_unit("id", F.lit("home")), left)), left, rounds)
+    bundles = large.union(small)
+    free = [max(0.0, quota - n) for n in _loads(bundles, shards)]
     ladders = cut(bundles.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("shard", "n"))).alias("ladder"), F.sum("n").alias("total")))  # at most a row for each shard
 
     step = F.pmod(F.xxhash64("id", F.lit("spread")), F.col("total"))
@@ -83,10 +104,7 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
         F.struct(step.alias("left"), F.lit(-1).alias("shard")),
         lambda a, x: F.struct((a["left"] - x["n"]).alias("left"), F.when((a["shard"] < 0) & (a["left"] < x["n"]), x["shard"]).otherwise(a["shard"]).alias("shard")),
     )["shard"]
-    free = [max(0.0, quota - load.get(s, 0)) for s in range(shards)]
-    edges = [sum(free[: s + 1]) / (sum(free) or 1.0) for s in range(shards)]
-    u = _unit("id", F.lit("fill"))
-    fill = reduce(lambda otherwise, s: F.when(u < edges[s], s).otherwise(otherwise), reversed(range(shards)), F.lit(shards - 1))
+    fill = _fill(_unit("id", F.lit("fill")), free)
     part = F.when(F.col("ladder").isNotNull(), 1).when(_unit("id", F.lit("part")) < 0.5, 0).otherwise(2)
     labelled = rows.join(ladders, "key", "left").select("id", "size", "text_crc32", "key", F.coalesce(climb, fill).alias("label"), part.alias("part"))
     order = ["label", "part", "key", "id"]

@@ -150,11 +150,11 @@ def _surprise(a: int, b: int, base: float) -> float:
 
 
 def _distinct(documents: list[set[str]]) -> list[int]:
-    """Indices of the documents without near copies of earlier ones, by their 32 smallest feature hashes."""
+    """Indices of the documents without near copies of earlier ones, by their 32 smallest word hashes."""
     holders: dict[int, list[int]] = {}
     kept = []
     for i, fs in enumerate(documents):
-        low = sorted({crc32(f.encode()) for f in fs})[:32]
+        low = sorted({crc32(f.encode()) for f in fs if f[0] == "="})[:32]
         shared = Counter(j for h in low for j in holders.get(h, ()))
         if low and any(n >= 0.4 * len(low) for n in shared.values()):
             continue
@@ -286,13 +286,15 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             lengths, which, distinct = _tokens(b.column(at))
             p = held.value.marginals(held.value.emissions(distinct)[which], lengths)
             begin = np.cumsum(lengths) - lengths
+            blank = pc.equal(pc.ascii_trim_whitespace(pc.fill_null(b.column(at).cast(pa.string()), "")), "").to_numpy(zero_copy_only=False)
+            scores = np.where(blank, 0.0, held.value.document_scores(p, lengths))
             found: list[list[dict]] = [[] for _ in range(b.num_rows)]
             hits = np.flatnonzero(p >= OFFENDING)
             owner = np.searchsorted(begin, hits, "right") - 1
             for i in np.unique(owner):
                 places = _places(b.column(at)[int(i)].as_py())
                 found[i] = [{"start": places[k - begin[i]][0], "end": places[k - begin[i]][1], "marginal": float(p[k])} for k in hits[owner == i]]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(held.value.document_scores(p, lengths), pa.float64()), pa.array(found, kind)], [*names, "score", "spans"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64()), pa.array(found, kind)], [*names, "score", "spans"])
 
     flat = docs.toDF(*names)
     schema = flat.select("*", F.lit(0.0).alias("score"), F.expr("cast(array() as array<struct<start:int,end:int,marginal:double>>)").alias("spans")).schema
