@@ -167,3 +167,48 @@ def recipe_sums(recipes: DataFrame, contents: DataFrame) -> DataFrame:
     """Contents whose blocks don't add up to their size."""
     sums = recipes.groupBy("content_id").agg(F.sum("len").alias("total"))
     return contents.join(sums, "content_id", "left").filter(F.coalesce("total", F.lit(0)) != F.col("size"))
+
+
+def roll_segments(frames: DataFrame, segment_size: int, writer: str = "writer") -> DataFrame:
+    """``frames`` (writer, frame, disk) with ``roll``: a writer's frames fill a segment, and one that would pass
+    ``segment_size`` begins the next. Sequential within a writer, as the cut depends on the cuts before."""
+    from pyspark.sql import types as T
+
+    kept = frames.select(writer, "frame", F.col("disk").cast("long").alias("disk"))
+
+    def cut(pdf):
+        pdf = pdf.sort_values("frame")
+        out, held, k = [], 0, 0
+        for n in pdf["disk"]:
+            if held and held + n > segment_size:
+                held, k = 0, k + 1
+            held += n
+            out.append(k)
+        return pdf.assign(roll=out)
+
+    return kept.groupBy(writer).applyInPandas(cut, T.StructType([*kept.schema.fields, T.StructField("roll", T.IntegerType())]))
+
+
+def optimize_candidates(index: DataFrame, features: DataFrame, recipes: DataFrame, least: int = 1024) -> DataFrame:
+    """Blocks that may still become deltas: live, whole, large enough, never scanned, no base, and not a content of one block."""
+    one = recipes.groupBy("content_id").agg(F.count("*").alias("n"), F.min("chunk_id").alias("chunk_id")).filter("n = 1").select("chunk_id")
+    bases = index.filter("is_delta").select(F.col("base_id").alias("chunk_id"))
+    out = index.filter(~F.col("is_delta") & (F.col("size") >= least)).join(recipes.select("chunk_id"), "chunk_id", "left_semi")
+    for other in (features.select("chunk_id"), bases, one):
+        out = out.join(other, "chunk_id", "left_anti")
+    return out
+
+
+def reference_counts(entries: DataFrame) -> DataFrame:
+    """(pack_file, n): entries that name each packed file."""
+    return entries.filter("storage = ''").groupBy("pack_file").agg(F.count("*").alias("n"))
+
+
+def expired(pending: DataFrame, now: str, hours: int = 24) -> DataFrame:
+    """Pending writes (…, modified) that nobody touched for so long."""
+    return pending.filter(F.col("modified") < F.lit(now).cast("timestamp") - F.expr(f"interval {hours} hours"))
+
+
+def approx_uniques(recipes: DataFrame) -> DataFrame:
+    """Extension: about how many distinct blocks there are, in one pass without a shuffle of the blocks."""
+    return recipes.agg(F.approx_count_distinct("chunk_id", 0.02).alias("chunks"), F.count("*").alias("references"))

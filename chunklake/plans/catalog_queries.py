@@ -422,6 +422,76 @@ def recipe_sums(spark, d):
     return store.recipe_sums(fx.recipes(spark, d), c).select("content_id", "size")
 
 
+@query
+def contents_list(spark, d):
+    return _live(spark, d)
+
+
+@query
+def entry_by_id(spark, d):
+    e = fx.entries(spark, d)
+    return e.groupBy("id").agg(F.min("ord").alias("ord"), F.min_by("uid", "ord").alias("uid"))
+
+
+@query
+def reference_counts(spark, d):
+    return store.reference_counts(fx.entries(spark, d))
+
+
+@query
+def optimize_candidates(spark, d):
+    f = fx.features(spark, d).filter("log_pos % 4 = 0")
+    return store.optimize_candidates(fx.chunk_index(spark, d), f, _live_recipes(spark, d)).select("chunk_id", "size")
+
+
+@query
+def position_order(spark, d):
+    i = fx.chunk_index(spark, d)
+    return store.positions(i.withColumn("off_in_frame", F.lit(0))).select("seg", "frame_off", "chunk_id")
+
+
+@query
+def stale_spool(spark, d):
+    pending = fx.entries(spark, d).select("path", F.col("packed_at").alias("modified"))
+    return store.expired(pending, "2024-01-02 10:00:00").select("path")
+
+
+@query
+def codebook_list(spark, d):
+    return fx.codebooks(spark, d).orderBy("name")
+
+
+@query
+def manifest_json(spark, d):
+    e = fx.entries(spark, d)
+    return e.select("ord", F.to_json(F.struct("uid", "id", "name", "size")).alias("line"))
+
+
+@query
+def clean_folders(spark, d):
+    f = fx.folders(spark, d)
+    return catalog.clean_folders(f.filter("path <> '/'").union(spark.createDataFrame([("",), ("/notes",)], "path string")))
+
+
+@query
+def saved_by_delta(spark, d):
+    i = fx.chunk_index(spark, d)
+    orphans = store.orphan_bases(i, _live_recipes(spark, d))
+    replacements = i.filter("is_delta").select("base_id", (F.floor(F.col("size") / 2) + 40).cast("long").alias("len"))
+    return store.rebase_worth(orphans, replacements).select("base_id", "keep", "change", "apply")
+
+
+@query
+def approx_uniques(spark, d):
+    return store.approx_uniques(fx.recipes(spark, d))
+
+
+@query
+def segment_roll(spark, d):
+    f = fx.frames(spark, d).select((F.col("seg") % 4).alias("writer"), (F.col("seg") * 1000 + F.floor(F.col("frame_off") / 1048576)).cast("int").alias("frame"), F.col("comp_len").alias("disk"))
+    return store.roll_segments(f, 100_000)
+
+
 # --- byte kernels; most have no SQL and are tested against scalar versions and round trips
 
 

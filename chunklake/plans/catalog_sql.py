@@ -196,6 +196,23 @@ UNION ALL SELECT 'missing_codebooks', 'warning', count(*) FROM entries WHERE boo
 UNION ALL SELECT 'no_default_codebook', 'warning', 0
 UNION ALL SELECT 'orphan_files', 'warning', count(*) FROM pack_files WHERE file NOT IN (SELECT pack_file FROM entries WHERE storage = '')""",
     "recipe_sums": "SELECT c.content_id, (strlen(text) + CASE WHEN c.ord % 17 = 0 THEN 1 ELSE 0 END)::BIGINT AS size FROM contents c WHERE c.ord % 17 = 0",
+    "contents_list": "SELECT content_id FROM live",
+    "entry_by_id": "SELECT id, min(ord) AS ord, min_by(uid, ord) AS uid FROM entries GROUP BY id",
+    "reference_counts": "SELECT pack_file, count(*) AS n FROM entries WHERE storage = '' GROUP BY pack_file",
+    "optimize_candidates": """
+SELECT chunk_id, size FROM chunk_index
+WHERE NOT is_delta AND size >= 1024 AND chunk_id IN (SELECT chunk_id FROM live_recipes) AND log_pos % 4 <> 0
+  AND chunk_id NOT IN (SELECT base_id FROM chunk_index WHERE is_delta) AND chunk_id NOT IN (SELECT min(chunk_id) FROM live_recipes GROUP BY content_id HAVING count(*) = 1)""",
+    "position_order": "SELECT seg, frame_off, chunk_id FROM chunk_index",
+    "stale_spool": "SELECT e.path FROM entries e WHERE TIMESTAMP '2024-01-01' + to_minutes(ord) < TIMESTAMP '2024-01-02 10:00:00' - INTERVAL 24 HOUR",
+    "codebook_list": "SELECT * FROM codebooks",
+    "manifest_json": """SELECT ord, '{"uid":"' || uid || '","id":"' || id || '","name":"' || name || '","size":' || size || '}' AS line FROM entries""",
+    "clean_folders": "SELECT path FROM folders",
+    "saved_by_delta": """
+SELECT o.base_id, base_size + delta_bytes AS keep, change, change < base_size + delta_bytes AS apply
+FROM (SELECT base_id, sum(size)::BIGINT AS delta_bytes, any_value((SELECT b.size FROM chunk_index b WHERE b.chunk_id = i.base_id)) AS base_size
+      FROM chunk_index i WHERE is_delta AND chunk_id IN (SELECT chunk_id FROM live_recipes) AND base_id NOT IN (SELECT chunk_id FROM live_recipes) GROUP BY base_id) o
+JOIN (SELECT base_id, sum(size // 2 + 40)::BIGINT AS change FROM chunk_index WHERE is_delta GROUP BY base_id) r USING (base_id)""",
     "piece_dedup": """
 SELECT c.content_id, coalesce(a.chunks, 0) AS chunks, coalesce(a.size, 0)::BIGINT AS size, coalesce(n.new_chunks, 0) AS new_chunks, coalesce(n.new_bytes, 0)::BIGINT AS new_bytes,
        round(CASE WHEN coalesce(a.chunks, 0) = 0 THEN 0 ELSE (a.chunks - coalesce(n.new_chunks, 0)) * 100.0::DOUBLE / a.chunks END, 6)::DOUBLE AS hit_rate
