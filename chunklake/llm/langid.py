@@ -139,8 +139,12 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     n, df = document_frequencies(known)
     idf = (np.log((1 + n) / (1 + df)) + 0.05).astype(np.float32)
-    first = Window.partitionBy("lang").orderBy("h", "id")
-    ids = known.select("id", "lang", F.xxhash64(F.col("id").cast("string"), F.lit("sample")).alias("h")).withColumn("n", F.row_number().over(first)).filter(F.col("n") <= sample)
+    # A hash thins each language to a few times the sample before the window ranks the rest.
+    share = known.groupBy("lang").agg(F.count("*").alias("rows")).select("lang", (F.lit(4.0 * sample) / F.col("rows")).alias("share"))
+    h = F.xxhash64(F.col("id").cast("string"), F.lit("sample"))
+    thin = known.select("id", "lang", h.alias("h")).join(F.broadcast(share), "lang").filter(F.pmod("h", F.lit(1 << 30)) / float(1 << 30) < F.col("share"))
+    first = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "id")
+    ids = thin.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= sample)
     chosen = known.join(F.broadcast(ids.select("id", "lang").distinct()), ["id", "lang"])  # at most `sample` rows for each language
 
     def centroids(pdf: pd.DataFrame) -> pd.DataFrame:
