@@ -79,7 +79,33 @@ FROM placed
     sources=_level("sources", "domain, lang", "domain, lang, source", "source", "langs"),
 )
 
+_DECONTAMINATION = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+  FROM documents
+), b AS (
+  SELECT item_id, w, len(w) AS n
+  FROM (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL)
+  WHERE len(w) > 0
+), windows AS (
+  SELECT DISTINCT item_id, least(n, 10) AS n, array_to_string(w[i:i + least(n, 10) - 1], ' ') AS run FROM (SELECT *, unnest(range(1, greatest(n - 9, 1) + 1)) AS i FROM b)
+), hits AS (
+  SELECT r, i, x.n, item_id
+  FROM (SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS run
+        FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM windows))) x JOIN windows v ON v.n = x.n AND v.run = x.run
+), words AS (
+  SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS k FROM hits) GROUP BY r
+), items AS (
+  SELECT r, list(item_id::VARCHAR ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT r, item_id FROM hits WHERE item_id IS NOT NULL) GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(ids), 0)::BIGINT AS n_items,
+       sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op4_decontamination": _DECONTAMINATION,
     "op1_line_dedup": _LINE_DEDUP,
     "op9_mixing": _MIXING,
 }
