@@ -88,8 +88,8 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
     is_large = F.col("total") >= max(2.0, LARGE * quota)  # of large keys there are at most shards / LARGE
     home = F.pmod(F.xxhash64("id", F.lit("home")), F.lit(shards)).cast("int")
 
-    def bundled(keys: DataFrame, at: F.Column) -> DataFrame:
-        return rows.join(keys, "key", "left_semi").groupBy("key", at.alias("shard")).agg(F.count("*").alias("n"))
+    def bundled(keys: DataFrame, at: F.Column) -> DataFrame:  # counts first, so that the join meets a key once for each shard
+        return rows.groupBy("key", at.alias("shard")).agg(F.count("*").alias("n")).join(keys, "key", "left_semi")
 
     large = propagate(bundled(F.broadcast(linked.filter(is_large).select("key")), home), most, rounds)
     left = [max(0.0, q - n) for q, n in zip(most, _loads(large, shards), strict=True)]
