@@ -20,6 +20,12 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_boilerplate(docs, F.col("source")).select("doc_id", "line_dedup.text", "line_dedup.n_lines", "line_dedup.n_dropped")
 
 
+def op1_page_boilerplate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over pages, by host: what stands between two tags is a line."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.regexp_replace("html", "<[^>]*>", "\n").alias("text"))
+    return line_dedup.drop_boilerplate(pages, line_dedup.host(F.col("url")), ratio=0.05).select("page_id", "line_dedup.text", "line_dedup.n_lines", "line_dedup.n_dropped")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = crc_mod("doc_id", 4) == 2
@@ -81,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_line_dedup,
+        op1_page_boilerplate,
         op2_language_id,
         op3_chroma_search,
         op4_decontamination,

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-_LINE_DEDUP = """
-WITH l AS (
-  SELECT doc_id, coalesce(source, '') AS site, text, string_split(text, chr(10)) AS lines FROM documents
+_LINES = """
 ), totals AS (
   SELECT site, count(*) AS pages FROM l GROUP BY site
 ), counts AS (
@@ -12,18 +10,29 @@ WITH l AS (
   FROM (SELECT site, unnest(list_distinct(list_filter(lines, lambda x: trim(x, ' ') <> ''))) AS line FROM l)
   GROUP BY site, line HAVING count(*) >= 3
 ), boiler AS (
-  SELECT site, list(line) AS drops FROM counts JOIN totals USING (site) WHERE n > 0.01::DOUBLE * pages GROUP BY site
+  SELECT site, list(line) AS drops FROM counts JOIN totals USING (site) WHERE n > RATIO::DOUBLE * pages GROUP BY site
 ), kept AS (
-  SELECT doc_id, text, lines, CASE WHEN drops IS NULL THEN lines ELSE list_filter(lines, lambda x: NOT list_contains(drops, x)) END AS k
+  SELECT ID, text, lines, CASE WHEN drops IS NULL THEN lines ELSE list_filter(lines, lambda x: NOT list_contains(drops, x)) END AS k
   FROM l LEFT JOIN boiler USING (site)
 )
-SELECT doc_id,
+SELECT ID,
        CASE WHEN text IS NULL THEN NULL ELSE coalesce(array_to_string(k, chr(10)), '') END AS text,
        coalesce(len(lines), 0)::BIGINT AS n_lines,
        (coalesce(len(lines), 0) - coalesce(len(k), 0))::BIGINT AS n_dropped
 FROM kept
 """
 
+_LINE_DEDUP = """
+WITH l AS (
+  SELECT doc_id, coalesce(source, '') AS site, text, string_split(text, chr(10)) AS lines FROM documents
+""" + _LINES.replace("RATIO", "0.01").replace("ID", "doc_id")
+
+_PAGE_BOILERPLATE = r"""
+WITH l AS (
+  SELECT page_id, lower(regexp_extract(coalesce(url, ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS site, text, string_split(text, chr(10)) AS lines
+  FROM (SELECT page_id, url, regexp_replace(html, '<[^>]*>', chr(10), 'g') AS text FROM pages)
+""" + _LINES.replace("RATIO", "0.05").replace("ID", "page_id")
+
 
 def _level(nodes: str, parent: str, path: str, name: str, source: str) -> str:
     """CTEs that deal the budget of each ``parent`` in ``source`` out to its children."""
@@ -107,5 +116,6 @@ FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 ORACLE_SQL: dict[str, str] = {
     "op4_decontamination": _DECONTAMINATION,
     "op1_line_dedup": _LINE_DEDUP,
+    "op1_page_boilerplate": _PAGE_BOILERPLATE,
     "op9_mixing": _MIXING,
 }

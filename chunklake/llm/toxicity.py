@@ -29,8 +29,8 @@ TOXIC_SAMPLE, CLEAN_SAMPLE = 1_200, 2_400
 #: Lengths of the prefixes that are features of a word.
 PREFIXES = (3, 4, 5, 6, 7, 8)
 #: A feature marks toxic text if its odds between toxic and clean sample documents are at least so high, and chance
-#: would give so uneven counts to fewer than one feature in SURE times their number.
-LEAST_ODDS, SURE = 12.0, 20.0
+#: would give so uneven counts to fewer than one feature in SURE times the number of its kind.
+LEAST_ODDS, SURE = 12.0, 10.0
 #: Marginal from which a token is an offending one.
 OFFENDING = 0.5
 
@@ -164,6 +164,11 @@ def _distinct(documents: list[set[str]]) -> list[int]:
     return kept
 
 
+def _kind(feature: str) -> int:
+    """Length of a prefix, 0 for a whole word."""
+    return 0 if feature[0] == "=" else len(feature)
+
+
 def _marks(documents: list[set[str]], toxic: np.ndarray) -> set[str]:
     """Features that mark toxic documents, beyond chance; near copies count as one document."""
     counts = {True: Counter(), False: Counter()}
@@ -176,11 +181,12 @@ def _marks(documents: list[set[str]], toxic: np.ndarray) -> set[str]:
             counts[label].update(fs)
     if not n[True] or not n[False]:
         return set()
-    least, base = np.log(SURE * max(1, len(counts[True]))), n[True] / (n[True] + n[False])
+    base = n[True] / (n[True] + n[False])
+    kinds = Counter(map(_kind, counts[True]))
     out = set()
     for f, c in counts[True].items():
         k = counts[False][f]
-        if (c + 0.1) * n[False] >= LEAST_ODDS * (k + 0.1) * n[True] and _surprise(c, k, base) >= least:
+        if (c + 0.1) * n[False] >= LEAST_ODDS * (k + 0.1) * n[True] and _surprise(c, k, base) >= np.log(SURE * kinds[_kind(f)]):
             out.add(f)
     return out
 

@@ -22,7 +22,7 @@ CONTRACT = {
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, sf, name):
     out = QUERIES[name](spark, sf)
-    table = "pages" if name.startswith("op6") else "embeddings" if name.startswith("op3") else "documents"
+    table = "pages" if name.startswith("op6") or "page" in name else "embeddings" if name.startswith("op3") else "documents"
     n = spark.read.parquet(f"{sf}/{table}.parquet")
     assert out.count() == (n.filter("vec_id % 20 = 0") if table == "embeddings" else n).count()
     want = CONTRACT.get(name.split("_")[0], [])
