@@ -24,6 +24,8 @@ from chunklake.llm.common import bounded_sample, crc_mod, slices
 #: Hash buckets of shapes, pairs of shapes, repeats, words.
 SHAPES, PAIRS, REPEATS, WORDS = 256, 512, 8, 1024
 TERMS = SHAPES + PAIRS + REPEATS + WORDS
+#: Shares of tokens equal to the one before, beyond which all tokens count under a further term, if they are so many.
+REPEAT_SHARES, REPEAT_LEAST = (0.05, 0.2, 0.5), 4
 #: Bound of the labelled sample, for each class.
 SAMPLE = 2_000
 DIMENSIONS = 48
@@ -31,16 +33,32 @@ NEIGHBOURS = 15
 #: Weight of a neighbour: similarity to this power.
 SHARPNESS = 4
 
-_LOWER = re.compile(r"[^\W\d_A-ZÀ-ÖØ-Þ]+")
-_UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]+")
-_DIGIT = re.compile(r"\d+")
+class _Kinds(dict):
+    """Letter case, digit, or the mark itself, of a code point."""
+
+    def __missing__(self, code: int) -> int:
+        c = chr(code)
+        self[code] = kind = ord("A" if c.isupper() or c.istitle() else "a" if c.isalpha() else "0" if c.isdigit() else c)
+        return kind
+
+
+class _Letters(dict):
+    """Letters, and nothing for all other code points."""
+
+    def __missing__(self, code: int) -> int | None:
+        self[code] = code if chr(code).isalpha() else None
+        return self[code]
+
+
+_RUN = re.compile(r"([aA0])\1+")
+_kinds, _letters = _Kinds(), _Letters()
 _seen: dict[str, int] = {}
 
 
 def _token(token: str) -> int:
     """Shape bucket × WORDS + word bucket."""
-    shape = _DIGIT.sub("0", _LOWER.sub("a", _UPPER.sub("A", token[:64])))[:12]
-    word = re.sub(r"[\W_]+", "", token).lower()
+    shape = _RUN.sub(r"\1", token[:64].translate(_kinds))[:12]
+    word = token.lower().translate(_letters)
     return crc32(shape.encode()) % SHAPES * WORDS + crc32(word.encode()) % WORDS
 
 
@@ -71,10 +89,17 @@ def term_counts(texts: pa.Array) -> np.ndarray:
     same = row[1:] == row[:-1]
     pair = (shape[:-1] * 31 + shape[1:]) % PAIRS
     terms = [row * TERMS + shape, (row[1:] * TERMS + SHAPES + pair)[same], row * TERMS + SHAPES + PAIRS + REPEATS + word]
+    repeated = np.zeros(len(lengths))
     for back in range(1, 4):
         again = (row[back:] == row[:-back]) & (which[back:] == which[:-back])
         terms.append((row[back:] * TERMS + SHAPES + PAIRS + back)[again])
-    return np.bincount(np.concatenate(terms), minlength=len(lengths) * TERMS).reshape(len(lengths), TERMS)
+        if back == 1:
+            repeated = np.bincount(row[1:][again], minlength=len(lengths))
+    out = np.bincount(np.concatenate(terms), minlength=len(lengths) * TERMS).reshape(len(lengths), TERMS)
+    n = np.bincount(row, minlength=len(lengths))
+    for i, share in enumerate(REPEAT_SHARES):  # a text that repeats its tokens over and over
+        out[:, SHAPES + PAIRS + 4 + i] = np.where((repeated >= REPEAT_LEAST) & (repeated > share * n), n, 0)
+    return out
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
