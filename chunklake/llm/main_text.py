@@ -76,7 +76,8 @@ def tokens(html: str) -> list[tuple[str, str, int]]:
     enclosing block's name, with "/a" in links. In boilerplate all features begin with "!"."""
     out: list[tuple[str, str, int]] = []
     block, links, inside = "", 0, 0
-    skip, depth = "", 0  # the boilerplate element that is open, and how many of its name
+    skip, depth, closes = "", 0, True  # the boilerplate element that is open, how many of its name, and if it is ever closed
+    lower = html.lower()
     for m in _TOKEN.finditer(html):
         raw, closing, name, attributes, text = m.groups()
         if text is not None:
@@ -105,10 +106,10 @@ def tokens(html: str) -> list[tuple[str, str, int]]:
             if skip:
                 if name == skip and name not in VOID:
                     depth += 1
-                elif name in ("article", "main"):
+                elif name in ("article", "main") and not closes:  # left open by mistake
                     skip = ""
             elif name not in VOID and not attributes.rstrip().endswith("/") and _is_boilerplate(name, attributes, inside > 0):
-                skip, depth = name, 1
+                skip, depth, closes = name, 1, lower.find("</" + name, m.end()) >= 0
                 place = NESTED if inside else BOILER
             if name == "a":
                 links = 1

@@ -250,6 +250,10 @@ def test_main_text_by_hand(spark, sf, weights):
     assert "First paragraph & more, with" in text and "Second paragraph goes on, <so> it does" in text
     for bad in ("Site", "Home", "One", "cookies", "Buy", "Advert", "Mail", "reader", "(c)"):
         assert bad not in text
+    comments = page.replace("<section id=comments>", "<section id=comments><article class=comment>").replace("</section>", "</article></section>")
+    assert "reader" not in main_text.extract(comments, w)
+    unclosed = "<body><nav><li>One<article><p>The words of the article, which are many and go on for a while.</p></article></body>"
+    assert main_text.extract(unclosed, w).startswith("The words")
     assert main_text.best_run([]) == (0, 0) and main_text.best_run([-1, 2, -1, 2, -5, 3]) == (1, 4)
 
 
