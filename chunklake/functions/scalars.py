@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -144,7 +142,3 @@ def below(path: Column, folder: Column) -> Column:
     """Whether ``path`` lies under ``folder``; /ab isn't under /a."""
     prefix = F.concat(F.regexp_replace(folder, "/+$", ""), F.lit("/"))
     return F.startswith(path, prefix)
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)

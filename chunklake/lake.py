@@ -158,6 +158,32 @@ class Lake:
         features = store.compact_features(self._read("features"), blocks.select("chunk_id", F.col("base_id").isNotNull().alias("is_delta")), force=True)
         self.snapshots.publish({"blocks": blocks, "features": features})
 
+    def rebase(self) -> None:
+        """Bases that only deltas need are given up where that pays: their deltas move to other bases, or become whole.
+
+        The blocks of the bases themselves go at the next gc().
+        """
+        blocks, used = self._read("blocks"), self._read("recipes").select("chunk_id").distinct()
+        sized = blocks.select("chunk_id", F.octet_length("data").cast("long").alias("size"), F.col("base_id").isNotNull().alias("is_delta"), "base_id")
+        orphans = store.orphan_bases(sized, used).persist()
+        try:
+            old = blocks.join(orphans.select("base_id"), "base_id", "left_semi").join(used, "chunk_id", "left_semi").select("chunk_id", F.col("base_id").alias("old"))
+            own = self.payloads(old.select("chunk_id")).persist()
+            usable = sized.filter("not is_delta").join(used, "chunk_id", "left_semi").join(orphans.select(F.col("base_id").alias("chunk_id")), "chunk_id", "left_anti")
+            probes = similarity.features(own)
+            pairs = similarity.candidates(probes, self._read("features"), usable.select("chunk_id"))
+            moved = similarity.encode(pairs, own.union(self.payloads(pairs.select(F.col("base_id").alias("chunk_id")).distinct()))).select("chunk_id", "base_id", "delta")
+            whole = own.select("chunk_id", F.octet_length("payload").cast("long").alias("size"), codec.frame_form("payload").alias("f"))
+            is_moved = F.col("delta").isNotNull()
+            new = whole.join(moved, "chunk_id", "left").join(old, "chunk_id").select("chunk_id", "size", F.when(is_moved, 0).otherwise(F.col("f.codec")).alias("codec"), "base_id", F.coalesce("delta", "f.data").alias("data"), "old")
+            cost = new.select(F.col("old").alias("base_id"), (F.octet_length("data") + F.when(F.col("base_id").isNotNull(), 32).otherwise(0)).alias("len"))
+            worth = store.rebase_worth(orphans, cost).filter("apply").select(F.col("base_id").alias("old"))
+            done = new.join(worth, "old", "left_semi").drop("old").persist()
+            fresh = probes.join(done.filter("base_id is null").select("chunk_id"), "chunk_id", "left_semi").withColumn("log_pos", F.lit(len(self.snapshots.versions())).cast("long"))
+            self.snapshots.publish({"blocks": blocks.join(done.select("chunk_id"), "chunk_id", "left_anti").unionByName(done)}, {"features": fresh})
+        finally:
+            self.spark.catalog.clearCache()
+
     def recompress(self) -> None:
         """Whole blocks compressed at the highest level where that gains; a second run finds nothing to do."""
         blocks = self._read("blocks")

@@ -154,6 +154,23 @@ def test_zlib_streams(level):
     assert kernels.unzlib(z + b"junk") is None and kernels.unzlib(b"\x78\x9d" + z[2:]) is None and kernels.unzlib(z[:-9]) is None
 
 
+def test_zlib_columns(spark):
+    z = zlib.compress(text(20_000), 6)
+    d = spark.createDataFrame([(1, z), (2, b"plain"), (3, None)], "n int, v binary").withColumn("f", codec.unzlib("v"))
+    got = {r.n: r for r in d.select("n", "v", "f", codec.worth_compressing("v").alias("w")).collect()}
+    assert got[1].f.level is not None and got[2].f.level is None and got[3].w
+    again = d.filter("f.level is not null").select("v", codec.rezlib("f.plain", "f.level").alias("z")).first()
+    assert again.v == again.z == z
+
+
+def test_rebase_candidates(spark):
+    index = spark.createDataFrame([("old", False, None), ("other", False, None), ("d", True, "old")], "chunk_id string, is_delta boolean, base_id string")
+    orphans = spark.createDataFrame([("old",)], "base_id string")
+    known = spark.createDataFrame([("old", 0, 5, 9), ("other", 0, 6, 1), ("d", 0, 5, 0), ("d", 1, 6, 0)], "chunk_id string, slot int, f long, log_pos long")
+    live = spark.createDataFrame([("other",), ("d",)], "chunk_id string")
+    assert [tuple(r) for r in similarity.rebase_candidates(orphans, index, known, live).collect()] == [("d", "other")]
+
+
 def test_gc_of_everything(spark):
     index = spark.createDataFrame([("a", 0, 0, 10, False, None), ("b", 0, 0, 10, True, "a"), ("c", 1, 0, 5, False, None)], "chunk_id string, seg int, frame_off long, size long, is_delta boolean, base_id string")
     frames = spark.createDataFrame([(0, 0, 1, 20, 9), (1, 0, 1, 5, 4)], "seg int, frame_off long, codec int, raw_len long, comp_len long")

@@ -49,6 +49,23 @@ def test_life(spark, lake, tmp_path):
     assert {r.path for r in lake.tree().collect()} >= {"/", "/arquivos", "/arquivos/one", "/arquivos/back"}
 
 
+def test_rebase(spark, lake):
+    base = random.Random(3).randbytes(20_000)
+    near = bytearray(base)
+    near[9_000] ^= 1
+    lake.add(files_of(spark, [("a", base)]), "one")
+    lake.add(files_of(spark, [("b", bytes(near))]), "two")
+    lake.remove(lake.match("a").filter("name = 'a'").select("uid"))
+    lake.gc()
+    before = lake._read("blocks").agg(F.sum(F.octet_length("data"))).first()[0]
+    assert lake._read("blocks").filter("base_id is not null").count() == 1  # the base stays for it
+    lake.rebase()
+    lake.gc()
+    after = lake._read("blocks").agg(F.sum(F.octet_length("data"))).first()[0]
+    assert after < before and lake._read("blocks").filter("base_id is not null").count() == 0
+    assert lake.verify().count() == 0 and lake.garbage().first().chunks == 0
+
+
 def test_maintenance(spark, lake):
     base = random.Random(2).randbytes(60_000)
     near = bytearray(base)

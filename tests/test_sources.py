@@ -41,6 +41,15 @@ def test_manifest(spark, tmp_path):
         files.read_manifest(spark, str(tmp_path / "torn.json")).collect()
 
 
+def test_manifest_round_trip(spark, tmp_path, sf):
+    from chunklake.plans import fixtures
+
+    e = fixtures.entries(spark, sf).select("ord", "uid", "id", "name", "group", "rel_path", "folder", "path", "size", "storage")
+    files.write_manifest(e, str(tmp_path / "m"))
+    back = files.read_manifest(spark, str(tmp_path / "m")).select(e.columns)
+    assert sorted(map(str, back.collect())) == sorted(map(str, e.collect()))
+
+
 def test_packages(spark, tmp_path):
     docs = spark.createDataFrame([(k, f"text {k % 4} " * 900) for k in range(6)], "n long, t string")
     raw = chunking.contents_of(docs, "t", "n")
