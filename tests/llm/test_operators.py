@@ -464,3 +464,20 @@ def test_terms_by_hand():
     want[quality.SHAPES + quality.PAIRS + 1] += 1
     assert {i: int(n) for i, n in enumerate(counts[0]) if n} == dict(want)
     assert not counts[1:3].any() and counts[3].sum() == 2
+
+
+# --- pipeline stages on odd and empty tables
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_on_odd_tables(spark, sf, odd, none, k):
+    import corpus_pipeline
+
+    name, stage = corpus_pipeline.STAGES[k]
+    out = stage(spark, odd, sf)
+    assert out.count() <= odd.count()
+    if k < 4:
+        assert out.columns == odd.columns and {r.doc_id for r in out.collect()} <= {r.doc_id for r in odd.collect()}
+    else:
+        check_shards(out.collect())
+    assert stage(spark, none, sf).count() == 0
