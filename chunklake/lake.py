@@ -114,7 +114,7 @@ class Lake:
             raw = raw.join(old.select("content_id"), "content_id", "left_anti")
             chunks = chunking.chunk(raw, payload=True).persist()
             blocks = chunking.new_chunks(chunks, index).select("chunk_id", "payload").persist()
-            probes = similarity.features(blocks)
+            probes = similarity.features(blocks).persist()
             against = similarity.candidates(probes, self._read("features"), index.filter("not is_delta").select("chunk_id"))
             stored = self.payloads(against.select(F.col("base_id").alias("chunk_id")).distinct())
             within = similarity.set_candidates(probes.join(against, "chunk_id", "left_anti"))
@@ -123,7 +123,7 @@ class Lake:
             form = codec.frame_form("payload")
             size = F.octet_length("payload").cast("long")
             framed = whole.select("chunk_id", size.alias("size"), form.alias("f")).select("chunk_id", "size", "f.codec", F.lit(None).cast("string").alias("base_id"), F.col("f.data").alias("data"))
-            packed = framed.union(deltas.select("chunk_id", "size", F.lit(0), "base_id", F.col("delta").alias("data")))
+            packed = framed.union(deltas.select("chunk_id", "size", F.lit(0), "base_id", F.col("delta").alias("data"))).persist()
             bases = probes.join(whole.select("chunk_id"), "chunk_id", "left_semi").withColumn("log_pos", F.lit(len(self.snapshots.versions())).cast("long"))
             # A content is charged for the blocks that it stored first.
             owner = chunking.new_chunks(chunks, index).select("chunk_id", "content_id")

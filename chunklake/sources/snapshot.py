@@ -17,6 +17,7 @@ class Snapshots:
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
+        self._known: dict[int, dict[str, list[str]]] = {}  # a published version never changes
 
     def _fs(self):
         jvm = self.spark.sparkContext._jvm
@@ -33,8 +34,10 @@ class Snapshots:
         if not known:
             return {}
         at = known[-1] if version is None else version
-        text = self.spark.read.text(f"{self.root}/_versions/{at}", wholetext=True).first()
-        return json.loads(text.value)
+        if at not in self._known:
+            text = self.spark.read.text(f"{self.root}/_versions/{at}", wholetext=True).first()
+            self._known[at] = json.loads(text.value)
+        return {name: list(folders) for name, folders in self._known[at].items()}
 
     def read(self, table: str, version: int | None = None) -> DataFrame:
         return self.spark.read.parquet(*(f"{self.root}/{folder}" for folder in self.tables(version)[table]))
