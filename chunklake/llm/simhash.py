@@ -8,6 +8,10 @@ node at the depth of a block. With ``budget`` differing bits and ``budget + 1``
 within the budget agrees in some block (pigeonhole), so the join is complete.
 A node with more than ``PIECE`` fingerprints isn't one piece: Spark joins its children into node
 pairs, level by level and with the same budget, until the pieces are small.
+
+The pipeline's stage allows more errors than blocks can hold. Its tries are dealt by the smallest
+shingle hashes under independent seeds instead, and what the tries find is only a candidate: texts
+are linked by the exact Jaccard similarity of their shingle sets.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
+from xxhash import xxh3_128_digest, xxh64_digest, xxh64_intdigest
 
 from chunklake.llm.common import LOWER_ASCII, as_bytes, cut, slices
 from chunklake.llm.components import components
@@ -252,6 +256,11 @@ def trie_links(reps: DataFrame, budget: int, blocks: int, accept_budget: int | N
         .select("node", "accept", F.explode(turned).alias("r"))
         .select("node", "accept", F.col("r.t").alias("t"), F.col("r.s").alias("s"), F.expr("substring(r.s, 1, r.size)").alias("a"))
     )
+    return _tries(rows, budget, accept_budget, piece)
+
+
+def _tries(rows: DataFrame, budget: int, accept_budget: int | None = None, piece: int = PIECE) -> DataFrame:
+    """Links (u, v) within each node (t, a) of the tries of ``rows`` (node, accept, t, s, a); a is the start of s."""
     counts = rows.groupBy("t", "a").count()
     big = cut(counts.filter(F.col("count") > piece))
     if big.isEmpty():
@@ -261,7 +270,7 @@ def trie_links(reps: DataFrame, budget: int, blocks: int, accept_budget: int | N
     hot = cut(rows.join(big, ["t", "a"], "left_semi"))
     links = _run_units(small, budget, accept_budget)
     frontier = big.select("t", F.col("a").alias("pa"), F.col("a").alias("pb"), F.lit(0).alias("e"), F.col("count").alias("na"), F.col("count").alias("nb"))
-    width = int(reps.select(n_bytes).first()[0])
+    width = int(hot.select(F.length("s")).first()[0])
     depth = int(big.select(F.length("a")).first()[0])
     last = F.expr("conv(hex(substring(p, -1, 1)), 16, 10)").cast("int")
     while depth < width and not frontier.isEmpty():
@@ -339,20 +348,184 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp binary, accept binary")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, budget: int = 36) -> DataFrame:
+#: Of the pipeline's stage: independently seeded tries, and how many smallest hashes name a node of each. Sets of
+#: Jaccard 0.8 share no node with a probability of (1 - 0.8 ** MINIMA) ** TRIES, 6e-7.
+TRIES, MINIMA = 20, 3
+#: Shingle sets of a candidate component that one task compares; larger components are cut into pairs of chunks.
+CHUNK = 1_000
+
+_SEEDS = np.random.default_rng(42).integers(0, 1 << 63, (TRIES * MINIMA, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_set(text: bytes, width: int) -> np.ndarray:
+    """Sorted distinct hashes of the ``width``-word shingles of a text."""
+    return np.unique(shingle_hashes(text.translate(LOWER_ASCII).split(), width))
+
+
+def trie_keys(hashes: np.ndarray) -> bytes:
+    """The node of a shingle set in each trie, 8 bytes each: a hash of its smallest hashes under the trie's seeds."""
+    low = np.full(len(_SEEDS), np.iinfo(np.uint64).max)
+    for i in range(0, len(hashes), 4096):
+        low = np.minimum(low, (hashes[i : i + 4096] * _SEEDS).min(axis=1))
+    return b"".join(xxh64_digest(x.tobytes(), t) for t, x in enumerate(low.reshape(TRIES, MINIMA)))
+
+
+def marks(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(id, digest, fp, keys): digest, 256-bit SimHash and trie nodes of each row's shingle set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            sets = [shingle_set(t, width) for t in as_bytes(b.column(1))]
+            columns = [[xxh3_128_digest(x.tobytes()) for x in sets], [sketch(x, SKETCH_WORDS) for x in sets], [trie_keys(x) for x in sets]]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.binary()) for c in columns)], ["id", "digest", "fp", "keys"])
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, digest binary, fp binary, keys binary")
+
+
+def _sets(docs: DataFrame, text_col: str, width: int) -> DataFrame:
+    """(digest, shingles) of each distinct shingle set of ``docs``; shingles: the sorted hashes, 8 bytes each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            raw = [shingle_set(t, width).tobytes() for t in as_bytes(b.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array([xxh3_128_digest(x) for x in raw], pa.binary()), pa.array(raw, pa.binary())], ["digest", "shingles"])
+
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "digest binary, shingles binary").dropDuplicates(["digest"])
+
+
+def candidates(reps: DataFrame, budget: int, piece: int = PIECE) -> DataFrame:
+    """(node, comp) of each shingle set in a candidate component of two or more.
+
+    ``reps``: (node long, fp, keys). Sets that share a node of a trie and whose SimHashes differ in at
+    most ``budget`` bits are candidates, and sets of equal SimHash are; a SimHash enters a node once.
+    """
+    fps = cut(reps.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("sets")))
+    at = cut(reps.join(fps, "fp"))
+    keys = F.expr(f"transform(sequence(0, {TRIES - 1}), t -> named_struct('t', t, 'a', substring(keys, t * 8 + 1, 8)))")
+    rows = at.select(F.col("first").alias("node"), "fp", "sets", F.explode(keys).alias("r")).select("node", "sets", F.lit(b"").alias("accept"), F.col("r.t").alias("t"), F.concat("r.a", "fp").alias("s"), F.col("r.a").alias("a"))
+    once = rows.filter("sets = 1").union(rows.filter("sets > 1").distinct()).drop("sets")
+    found = components(_tries(once, budget, None, piece))
+    named = at.select("node", "first", "sets").join(found.select(F.col("node").alias("first"), "root"), "first", "left")
+    return named.filter("root is not null or sets > 1").select("node", F.coalesce("root", "first").alias("comp"))
+
+
+def _near_sets(nodes: np.ndarray, roots: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links between the sets of a task whose Jaccard similarity is at least ``similarity``.
+
+    Pairs that are joined already, by their roots or by links found before, aren't compared again, nor
+    are pairs of one side (unless it is -1).
+    """
+    sizes = np.array([len(x) for x in sets])
+    starts = np.cumsum(sizes) - sizes
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    flag = np.zeros(int(ids.max(initial=-1)) + 1, np.int32)
+    group, out = roots.copy(), []
+    for x in range(len(sets) - 1):
+        less, more = np.minimum(sizes, sizes[x]), np.maximum(sizes, sizes[x])
+        open_ = (group != group[x]) & (less >= similarity * more - 1e-9) & (less > 0) & ((sides < 0) | (sides != sides[x]))
+        open_[: x + 1] = False
+        others = np.flatnonzero(open_)
+        if not len(others):
+            continue
+        own = ids[starts[x] : starts[x] + sizes[x]]
+        flag[own] = 1
+        for lo, hi in _cuts(np.cumsum(sizes[others]), 1 << 21):
+            y = others[lo:hi]
+            both = np.add.reduceat(flag[ids[_ranges(starts[y], sizes[y])]], np.cumsum(sizes[y]) - sizes[y])
+            near = y[both * (1 + similarity) >= similarity * (sizes[y] + sizes[x]) - 1e-9]
+            if len(near):
+                out += [(int(nodes[x]), int(nodes[k])) for k in near]
+                group[np.isin(group, group[near])] = group[x]
+        flag[own] = 0
+    return out
+
+
+def _compared(rows: DataFrame, similarity: float) -> DataFrame:
+    """Links (u, v) within each task of ``rows`` (task long, side int, node, root, shingles)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        now = None
+
+        def flush() -> pa.RecordBatch:
+            side, node, root, raw = zip(*held, strict=True)
+            sets = [np.frombuffer(x, np.uint64) for x in raw]
+            links = _near_sets(np.array(node), np.array(root), np.array(side), sets, similarity) if len(held) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["u", "v"])
+
+        for b in batches:
+            for task, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if task != now and held:
+                    yield flush()
+                    held = []
+                now = task
+                held.append(tuple(row))
+        if held:
+            yield flush()
+
+    rows = rows.select("task", "side", "node", "root", "shingles")
+    return rows.repartition("task").sortWithinPartitions("task").mapInArrow(run, "u long, v long")
+
+
+def _chunked(members: DataFrame, chunk: int) -> DataFrame:
+    """``members`` (node, comp, ...) with n, the chunks of its component, and c, its own among them."""
+    counts = members.groupBy("comp").agg(F.ceil(F.count("*") / chunk).cast("int").alias("n"))
+    return members.join(counts, "comp").withColumn("c", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
+
+
+def _crossed(members: DataFrame, sets: DataFrame, similarity: float, own: bool) -> DataFrame:
+    """Links between the chunks of each component; with ``own`` also within them."""
+    pairs = members.withColumn("d", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).filter("c <> d" if not own else "true")
+    task = F.xxhash64("comp", F.least("c", "d"), F.greatest("c", "d"))
+    side = F.when(F.col("c") == F.col("d"), -1).when(F.col("c") < F.col("d"), 0).otherwise(1)
+    return _compared(pairs.join(sets, "node").select(task.alias("task"), side.alias("side"), "node", "root", "shingles"), similarity)
+
+
+def confirmed(members: DataFrame, sets: DataFrame, similarity: float, chunk: int = CHUNK) -> DataFrame:
+    """(node, root) of the nodes that link: components over exact Jaccard ``similarity`` within each component.
+
+    ``members``: (node, comp); ``sets``: (node, shingles). Every pair of a component is compared or
+    joined already. Of a component of many chunks, each chunk is compared first, then one node of
+    each group found, then, where groups are left apart, each pair of chunks.
+    """
+    at = cut(_chunked(members, chunk))
+    inside = at.select("node", F.xxhash64("comp", "c").alias("task"))
+    large = at.filter("n > 1").select("node", "comp", "n", "c")
+    if large.isEmpty():
+        return components(_compared(inside.join(sets, "node").withColumns({"side": F.lit(-1), "root": F.col("node")}), similarity))
+    sets = cut(sets)
+    links = cut(_compared(inside.join(sets, "node").withColumns({"side": F.lit(-1), "root": F.col("node")}), similarity))
+
+    def rooted() -> DataFrame:
+        return cut(large.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node")))
+
+    firsts = _chunked(rooted().filter("node = root").select("node", "comp", "root"), chunk)
+    links = cut(links.union(_crossed(firsts, sets, similarity, own=True)))
+    now = rooted()
+    apart = now.groupBy("comp").agg((F.min("root") < F.max("root")).alias("apart")).filter("apart").select("comp")
+    return components(links.union(_crossed(now.join(apart, "comp"), sets, similarity, own=False)))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, budget: int = 80, chunk: int = CHUNK) -> DataFrame:
     """Rows of ``docs`` with one row kept of each group of near duplicates: that with the smallest id.
 
-    Two texts link if the 256-bit SimHashes of their ``width``-word shingles agree in at least
-    ``similarity`` of the bits. Candidates come from the trie self-join over a second SimHash, of
-    the distinct words, which moves less under small edits: pairs that agree in one of its sixteen
-    16-bit blocks and differ in at most ``budget`` of its 256 bits.
+    Two texts link if the Jaccard similarity of their sets of ``width``-word shingles is at least
+    ``similarity``; texts without a word link to each other. Candidates come from independently seeded
+    tries (see candidates()) with ``budget`` differing bits of 256, twice what sets of Jaccard 0.8
+    differ in on average; every candidate component is then compared exactly.
     Of repeated rows with the smallest id one stays. Rows with null ids fall to a known id of their
     group; in a group of null ids one row stays. All columns of ``docs`` are returned.
     """
-    bits = 64 * SKETCH_WORDS
-    marked = cut(sketches(docs, id_col, text_col, width))
-    named = groups(marked, budget, 16, int(bits * (1 - similarity)))
-    rows = cut(marked.join(named, ["fp", "accept"], "left").groupBy("component", "id").count())
+    marked = cut(marks(docs, id_col, text_col, width))
+    reps = cut(marked.groupBy("digest", "fp", "keys").agg(F.min("id").alias("least")).withColumn("node", F.monotonically_increasing_id()))
+    members = cut(candidates(reps.select("node", "fp", "keys"), budget).join(reps.select("node", "digest", "least"), "node"))
+    wanted = members.select(F.col("least").alias("_least")).distinct()
+    sets = _sets(docs.join(wanted, F.col(id_col).cast("long").eqNullSafe(F.col("_least")), "left_semi"), text_col, width)
+    found = confirmed(members.select("node", "comp"), members.select("node", "digest").join(sets, "digest").select("node", "shingles"), similarity, chunk)
+    found = cut(found.join(reps.select("node", "least"), "node"))
+    named = found.join(found.groupBy("root").agg(F.min("least").alias("component")), "root").select("node", "component")
+    named = cut(reps.join(named, "node", "left").select("digest", F.coalesce("component", "least").alias("component")))
+    rows = cut(marked.select("id", "digest").join(named, "digest", "left").groupBy("component", "id").count())
     gone = rows.filter(~F.col("id").eqNullSafe(F.col("component"))).select("id")
     kept = docs.join(gone.withColumnRenamed("id", id_col).filter(F.col(id_col).isNotNull()), id_col, "left_anti").select(docs.columns)
     if not gone.filter("id is null").isEmpty():

@@ -481,3 +481,49 @@ def test_stages_on_odd_tables(spark, sf, odd, none, k):
     else:
         check_shards(out.collect())
     assert stage(spark, none, sf).count() == 0
+
+
+def jaccard(a: str, b: str) -> float:
+    x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("chunk", [10, simhash.CHUNK])
+def test_drop_near_duplicates_equals_brute_force(spark, chunk):
+    rng = np.random.default_rng(11)
+    share = 1 / np.arange(1, 4001) / (1 / np.arange(1, 4001)).sum()
+
+    def words(n):
+        return [f"w{i}" for i in rng.choice(4000, n, p=share)]
+
+    def changed(w, n):  # n words in a row, so that few shingles go
+        at = int(rng.integers(0, len(w) - n))
+        return [*w[:at], *words(n), *w[at + n :]]
+
+    texts, families = [], []
+    for k in range(120):
+        w = words((60, 200, 500)[k % 3])
+        n = len(w)
+        ways = [w, w + words(n // 5), w + words(n // 10), w[: n * 17 // 20], w[n // 6 :], changed(w, n // 20), changed(w, n // 6), changed(w, n // 4), w[n // 20 :] + w[: n // 20], w[n // 2 :] + w[: n // 2], w + words(n // 3)]
+        families.append(range(len(texts), len(texts) + len(ways)))
+        texts += [" ".join(x) for x in ways]
+    order = rng.permutation(len(texts)).tolist()  # the id of each text
+    texts_by = [""] * len(texts)
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, x in enumerate(order):
+        texts_by[x] = texts[i]
+    for family in families:
+        for i in family:
+            for j in family:
+                if i < j and jaccard(texts[i], texts[j]) >= 0.8:
+                    a, b = top(order[i]), top(order[j])
+                    root[max(a, b)] = min(a, b)
+    docs = spark.createDataFrame(list(enumerate(texts_by)), "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(docs, chunk=chunk).collect()}
+    assert kept == {top(i) for i in range(len(texts))}
