@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest, xxh64_digest, xxh64_intdigest
 
-from chunklake.llm.common import LOWER_ASCII, as_bytes, cut, slices
+from chunklake.llm.common import LOWER_ASCII, as_bytes, cut, shared_folder, slices
 from chunklake.llm.components import components
 
 #: Fingerprints in one trie node, beyond which Spark splits the node.
@@ -467,6 +467,14 @@ def _compared(rows: DataFrame, similarity: float) -> DataFrame:
     return rows.repartition("task").sortWithinPartitions("task").mapInArrow(run, "u long, v long")
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder. Unlike a checkpoint it has the size of its files as its estimate; checkpoints
+    multiply estimates at each join, and after two runs of components() the driver is busy with their digits alone."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _chunked(members: DataFrame, chunk: int) -> DataFrame:
     """``members`` (node, comp, ...) with n, the chunks of its component, and c, its own among them."""
     counts = members.groupBy("comp").agg(F.ceil(F.count("*") / chunk).cast("int").alias("n"))
@@ -492,18 +500,18 @@ def confirmed(members: DataFrame, sets: DataFrame, similarity: float, chunk: int
     inside = at.select("node", F.xxhash64("comp", "c").alias("task"))
     large = at.filter("n > 1").select("node", "comp", "n", "c")
     if large.isEmpty():
-        return components(_compared(inside.join(sets, "node").withColumns({"side": F.lit(-1), "root": F.col("node")}), similarity))
+        return components(_stored(_compared(inside.join(sets, "node").withColumns({"side": F.lit(-1), "root": F.col("node")}), similarity)))
     sets = cut(sets)
-    links = cut(_compared(inside.join(sets, "node").withColumns({"side": F.lit(-1), "root": F.col("node")}), similarity))
+    links = _stored(_compared(inside.join(sets, "node").withColumns({"side": F.lit(-1), "root": F.col("node")}), similarity))
 
     def rooted() -> DataFrame:
-        return cut(large.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node")))
+        return _stored(large.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node")))
 
     firsts = _chunked(rooted().filter("node = root").select("node", "comp", "root"), chunk)
-    links = cut(links.union(_crossed(firsts, sets, similarity, own=True)))
+    links = _stored(links.union(_crossed(firsts, sets, similarity, own=True)))
     now = rooted()
     apart = now.groupBy("comp").agg((F.min("root") < F.max("root")).alias("apart")).filter("apart").select("comp")
-    return components(links.union(_crossed(now.join(apart, "comp"), sets, similarity, own=False)))
+    return components(_stored(links.union(_crossed(now.join(apart, "comp"), sets, similarity, own=False))))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, budget: int = 80, chunk: int = CHUNK) -> DataFrame:
@@ -518,7 +526,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     marked = cut(marks(docs, id_col, text_col, width))
     reps = cut(marked.groupBy("digest", "fp", "keys").agg(F.min("id").alias("least")).withColumn("node", F.monotonically_increasing_id()))
-    members = cut(candidates(reps.select("node", "fp", "keys"), budget).join(reps.select("node", "digest", "least"), "node"))
+    members = _stored(candidates(reps.select("node", "fp", "keys"), budget).join(reps.select("node", "digest", "least"), "node"))
     wanted = members.select(F.col("least").alias("_least")).distinct()
     sets = _sets(docs.join(wanted, F.col(id_col).cast("long").eqNullSafe(F.col("_least")), "left_semi"), text_col, width)
     found = confirmed(members.select("node", "comp"), members.select("node", "digest").join(sets, "digest").select("node", "shingles"), similarity, chunk)
