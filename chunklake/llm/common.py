@@ -14,19 +14,60 @@ from pyspark.sql import functions as F
 #: Text bytes that one step of an Arrow kernel handles at once; bounds the memory of a Python worker.
 SLICE_BYTES = 4 << 20
 
+#: Ids that are broadcast at most: 16 MB of rows.
+BROADCAST_IDS = 1_000_000
+
 LOWER_ASCII = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder for tables, seen by the driver and all executors; it goes when the session's JVM ends.
+
+    It lies in the folder that the cluster names in ``spark.checkpoint.dir``, or else in the checkpoint
+    folder of the session. Only a local master may have neither; it gets a temporary one.
+    """
+    sc = spark.sparkContext
+    top = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if top is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        top = tempfile.mkdtemp(prefix="tables-")
+        sc.setCheckpointDir(top)
+    folder = f"{top.rstrip('/')}/tables-{uuid4().hex}"
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and drop its lineage.
+    """``df`` written to the shared folder and read again: nothing before it runs again if an executor is lost.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only a session that names
-    none (a local test) gets a temporary one.
+    Other than a checkpoint, the table has the size of its files as its estimate, so small ones are
+    broadcast by Spark's own threshold and later stages get as many tasks as its bytes need.
     """
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete the files of a table of ``cut`` that no plan needs any more."""
     sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def among(docs: DataFrame, id_col: str, ids: DataFrame, how: str) -> DataFrame:
+    """Rows of ``docs`` whose id is (``left_semi``) or isn't (``left_anti``) in ``ids`` (id long, written by ``cut``).
+
+    Null ids of ``docs`` are in nothing. Up to ``BROADCAST_IDS`` ids, counted first, are broadcast, so
+    the texts stay where they are; more are met by a shuffle join.
+    """
+    ids = ids.select(F.col("id").alias("_id"))
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, docs[id_col].cast("long") == ids["_id"], how)
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -57,9 +98,3 @@ def bounded_sample(df: DataFrame, key: str, most: int) -> DataFrame:
     """At most ``most`` rows, the first by a hash of ``key``; the same rows on every run."""
     order = F.xxhash64(F.col(key).cast("string"), F.lit("sample"))
     return df.withColumn("_h", order).orderBy("_h", key).limit(most).drop("_h")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder for tables beside the checkpoints, seen by the driver and all executors."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tables-")
-    return f"{top.rstrip('/')}/tables-{uuid4().hex}"

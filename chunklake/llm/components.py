@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunklake.llm.common import cut
+from chunklake.llm.common import cut, drop_table
 
 MAX_ROUNDS = 60
 
@@ -21,7 +21,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = edges.select(high.alias("u"), low.alias("v"))
-    mins = cut(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
+    mins = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
     joined = both.join(mins, "u")
     if large:
         out = joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -34,7 +34,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (u long, v long); root is the smallest node reachable.
 
     Nodes without an edge to another node aren't listed. Nulls, loops and repeated edges are ignored.
-    Each round writes its edges to the checkpoint folder, so lost executors cost one round at most.
+    Each round writes its edges to the shared folder, so lost executors cost one round at most, and
+    deletes those of the round before.
     """
     now = cut(edges.dropna().filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
@@ -42,8 +43,9 @@ def components(edges: DataFrame) -> DataFrame:
         sign = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if sign == before or not sign[0]:
             break
-        before = sign
+        before, last = sign, now
         now = cut(_star(_star(now, large=True), large=False))
+        drop_table(last)
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

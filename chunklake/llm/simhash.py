@@ -16,16 +16,17 @@ are linked by the exact Jaccard similarity of their shingle sets.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 from xxhash import xxh3_128_digest, xxh64_digest, xxh64_intdigest
 
-from chunklake.llm.common import LOWER_ASCII, as_bytes, cut, shared_folder, slices
+from chunklake.llm.common import LOWER_ASCII, among, as_bytes, cut, slices
 from chunklake.llm.components import components
 
 #: Fingerprints in one trie node, beyond which Spark splits the node.
@@ -176,10 +177,10 @@ def _roots(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
         at = new
 
 
-def _link(rows: np.ndarray, unit: np.ndarray, side: np.ndarray, node: np.ndarray, accept: np.ndarray, budget: int, accept_budget: int | None) -> pa.RecordBatch:
+def _link(rows: np.ndarray, unit: np.ndarray, side: np.ndarray, node: np.ndarray, budget: int) -> pa.RecordBatch:
     """Links of whole units as a spanning forest: (node, root of the node within these units)."""
     order = np.lexsort([rows[:, k] for k in range(rows.shape[1] - 1, -1, -1)] + [side, unit])
-    rows, unit, side, node, accept = rows[order], unit[order], side[order], node[order], accept[order]
+    rows, unit, side, node = rows[order], unit[order], side[order], node[order]
     seg = unit * 2 + side
     starts = np.flatnonzero(np.append(True, seg[1:] != seg[:-1]))
     ends = np.append(starts[1:], len(seg))
@@ -195,9 +196,6 @@ def _link(rows: np.ndarray, unit: np.ndarray, side: np.ndarray, node: np.ndarray
     us, vs, held = [], [], 0
     at = np.arange(len(rows))
     for i, j in trie_pairs(rows, seg, roots, budget):
-        if accept_budget is not None and len(i):
-            near = _bits(accept[i] ^ accept[j]) <= accept_budget
-            i, j = i[near], j[near]
         us.append(i)
         vs.append(j)
         held += len(i)
@@ -209,30 +207,28 @@ def _link(rows: np.ndarray, unit: np.ndarray, side: np.ndarray, node: np.ndarray
     return pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[at[linked]])], ["u", "v"])
 
 
-def _join_units(budget: int, accept_budget: int | None):
-    """mapInArrow function over rows (unit long, side, s, node, accept) sorted by unit."""
-
-    def matrix(column: pa.Array) -> np.ndarray:
-        raw = column.to_pylist()
-        return np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1)
+def _join_units(budget: int):
+    """mapInArrow function over rows (unit long, side, s, node) sorted by unit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def flush(parts: list[tuple]) -> pa.RecordBatch:
-            unit, side, rows, node, accept = (np.concatenate(x) for x in zip(*parts, strict=True))
-            return _link(rows, unit, side, node, accept, budget, accept_budget)
+            return _link(*(np.concatenate(x) for x in [*zip(*parts, strict=True)]), budget)
 
         for b in batches:
             if not b.num_rows:
                 continue
-            unit = b.column(0).to_numpy()
-            part = (unit, b.column(1).to_numpy().astype(np.int64), matrix(b.column(2)), b.column(3).to_numpy(), matrix(b.column(4)))
-            last = int(np.searchsorted(unit != unit[-1], False)) if (unit == unit[-1]).all() else int(np.flatnonzero(unit != unit[-1])[-1]) + 1
-            if last and held or last:
+            unit, raw = b.column(0).to_numpy(), b.column(2).to_pylist()
+            part = (np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1), unit, b.column(1).to_numpy().astype(np.int64), b.column(3).to_numpy())
+            last = int(np.searchsorted(unit, unit[-1]))  # where the last unit begins, which may go on
+            if last:
                 held.append(tuple(x[:last] for x in part))
                 yield flush(held)
                 held = []
+            elif held and held[-1][1][-1] != unit[0]:
+                yield flush(held)
+                held = []
             held.append(tuple(x[last:] for x in part))
         if held:
             yield flush(held)
@@ -240,35 +236,37 @@ def _join_units(budget: int, accept_budget: int | None):
     return run
 
 
-def trie_links(reps: DataFrame, budget: int, blocks: int, accept_budget: int | None = None, piece: int = PIECE) -> DataFrame:
+def trie_links(reps: DataFrame, budget: int, blocks: int, piece: int = PIECE) -> DataFrame:
     """Links (u, v) of node ids, a spanning forest per piece, between near fingerprints.
 
-    ``reps``: (node long, fp binary, accept binary), one row for each distinct fingerprint. The
-    fingerprint is dealt into ``blocks`` blocks of whole bytes; two fingerprints link if they agree
-    in a block and differ in at most ``budget`` bits in all, and, with ``accept_budget``, if their
-    ``accept`` strings differ in at most so many bits.
+    ``reps``: (node long, fp binary), one row for each distinct fingerprint. The fingerprint is dealt
+    into ``blocks`` blocks of whole bytes; two fingerprints link if they agree in a block and differ
+    in at most ``budget`` bits in all.
     """
     n_bytes = F.length("fp")
     size = F.floor(n_bytes / blocks).cast("int")
     turned = F.expr(f"transform(sequence(0, {blocks - 1}), t -> named_struct('t', t, 's', concat(substring(fp, t * size + 1), substring(fp, 1, t * size)), 'size', size))")
     rows = (
         reps.withColumn("size", size)
-        .select("node", "accept", F.explode(turned).alias("r"))
-        .select("node", "accept", F.col("r.t").alias("t"), F.col("r.s").alias("s"), F.expr("substring(r.s, 1, r.size)").alias("a"))
+        .select("node", F.explode(turned).alias("r"))
+        .select("node", F.col("r.t").alias("t"), F.col("r.s").alias("s"), F.expr("substring(r.s, 1, r.size)").alias("a"))
     )
-    return _tries(rows, budget, accept_budget, piece)
+    return _tries(rows, budget, piece)
 
 
-def _tries(rows: DataFrame, budget: int, accept_budget: int | None = None, piece: int = PIECE) -> DataFrame:
-    """Links (u, v) within each node (t, a) of the tries of ``rows`` (node, accept, t, s, a); a is the start of s."""
+def _tries(rows: DataFrame, budget: int, piece: int = PIECE) -> DataFrame:
+    """Links (u, v) within each node (t, a) of the tries of ``rows`` (node, t, s, a); a is the start of s.
+
+    A node whose rows all have one s has no pairs; s is distinct within (t, a) for each node.
+    """
     counts = rows.groupBy("t", "a").count()
     big = cut(counts.filter(F.col("count") > piece))
     if big.isEmpty():
-        units = rows.select(F.xxhash64("t", "a").alias("unit"), F.lit(0).alias("side"), "s", "node", "accept")
-        return _run_units(units, budget, accept_budget)
-    small = rows.join(big, ["t", "a"], "left_anti").select(F.xxhash64("t", "a").alias("unit"), F.lit(0).alias("side"), "s", "node", "accept")
+        units = rows.select(F.xxhash64("t", "a").alias("unit"), F.lit(0).alias("side"), "s", "node")
+        return _run_units(units, budget)
+    small = rows.join(big, ["t", "a"], "left_anti").select(F.xxhash64("t", "a").alias("unit"), F.lit(0).alias("side"), "s", "node")
     hot = cut(rows.join(big, ["t", "a"], "left_semi"))
-    links = _run_units(small, budget, accept_budget)
+    links = _run_units(small, budget)
     frontier = big.select("t", F.col("a").alias("pa"), F.col("a").alias("pb"), F.lit(0).alias("e"), F.col("count").alias("na"), F.col("count").alias("nb"))
     width = int(hot.select(F.length("s")).first()[0])
     depth = int(big.select(F.length("a")).first()[0])
@@ -288,29 +286,29 @@ def _tries(rows: DataFrame, budget: int, accept_budget: int | None = None, piece
         ready = pairs if depth == width else pairs.filter(~over)
         of = ready.select("t", "pa", "pb", F.xxhash64("t", "pa", "pb").alias("unit"))
         at = hot.withColumn("p", F.expr(f"substring(s, 1, {depth})"))
-        left = at.join(of.withColumnRenamed("pa", "p"), ["t", "p"]).select("unit", F.lit(0).alias("side"), "s", "node", "accept")
-        right = at.join(of.filter("pa <> pb").withColumnRenamed("pb", "p"), ["t", "p"]).select("unit", F.lit(1).alias("side"), "s", "node", "accept")
-        links = links.union(_run_units(left.union(right), budget, accept_budget))
+        left = at.join(of.withColumnRenamed("pa", "p"), ["t", "p"]).select("unit", F.lit(0).alias("side"), "s", "node")
+        right = at.join(of.filter("pa <> pb").withColumnRenamed("pb", "p"), ["t", "p"]).select("unit", F.lit(1).alias("side"), "s", "node")
+        links = links.union(_run_units(left.union(right), budget))
         frontier = pairs.filter(over)
     return links
 
 
-def _run_units(units: DataFrame, budget: int, accept_budget: int | None) -> DataFrame:
-    return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(_join_units(budget, accept_budget), "u long, v long")
+def _run_units(units: DataFrame, budget: int) -> DataFrame:
+    return units.repartition("unit").sortWithinPartitions("unit").mapInArrow(_join_units(budget), "u long, v long")
 
 
-def groups(marked: DataFrame, budget: int, blocks: int, accept_budget: int | None = None, piece: int = PIECE) -> DataFrame:
-    """(fp, accept, component) of each distinct (fp, accept) of ``marked`` (id, fp, accept).
+def groups(marked: DataFrame, budget: int, blocks: int, piece: int = PIECE) -> DataFrame:
+    """(fp, component) of each distinct fp of ``marked`` (id, fp).
 
     component is the smallest id reachable over links; copies share a fingerprint and are one node,
     so a group of copies of any size costs one row here. Rows with a null id count only if alone.
     """
-    reps = cut(marked.groupBy("fp", "accept").agg(F.min("id").alias("least")).withColumn("node", F.monotonically_increasing_id()))
-    found = components(trie_links(reps.select("node", "fp", "accept"), budget, blocks, accept_budget, piece))
+    reps = cut(marked.groupBy("fp").agg(F.min("id").alias("least")).withColumn("node", F.monotonically_increasing_id()))
+    found = components(trie_links(reps.select("node", "fp"), budget, blocks, piece))
     found = cut(found.join(reps.select("node", "least"), "node"))
     least = found.groupBy("root").agg(F.min("least").alias("component"))
     named = found.join(least, "root").select("node", "component")
-    return cut(reps.join(named, "node", "left").select("fp", "accept", F.coalesce("component", "least").alias("component")))
+    return cut(reps.join(named, "node", "left").select("fp", F.coalesce("component", "least").alias("component")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, budget: int = 3) -> DataFrame:
@@ -323,36 +321,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gives an empty result. Other columns of ``docs`` don't matter.
     """
     blocks = 4 if budget <= 3 else 8
-    marked = cut(fingerprints(docs, id_col, text_col, width)).withColumn("accept", F.lit(b""))
-    named = groups(marked, budget, blocks)
-    out = marked.join(named.select("fp", "component"), "fp", "left")
+    marked = cut(fingerprints(docs, id_col, text_col, width))
+    out = marked.join(groups(marked, budget, blocks), "fp", "left")
     return out.select(F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 #: Of the pipeline's stage: sketches of 4 × 64 bits.
 SKETCH_WORDS = 4
-
-
-def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, fp, accept): SimHash of the distinct words, and of the ``width``-word shingles, 256 bits each."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
-            fps, accepts = [], []
-            for t in as_bytes(b.column(1)):
-                words = t.translate(LOWER_ASCII).split()
-                fps.append(sketch(np.unique(shingle_hashes(list(set(words)), 1)), SKETCH_WORDS) if words else bytes(8 * SKETCH_WORDS))
-                accepts.append(sketch(shingle_hashes(words, width), SKETCH_WORDS))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.binary()), pa.array(accepts, pa.binary())], ["id", "fp", "accept"])
-
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp binary, accept binary")
-
-
 #: Of the pipeline's stage: independently seeded tries, and how many smallest hashes name a node of each. Sets of
 #: Jaccard 0.8 share no node with a probability of (1 - 0.8 ** MINIMA) ** TRIES, 6e-7.
 TRIES, MINIMA = 20, 3
-#: Shingle sets of a candidate component that one task compares; larger components are cut into pairs of chunks.
-CHUNK = 1_000
+#: Shingle sets of a candidate component that one task compares, and their bytes; larger components are cut into chunks.
+CHUNK, CHUNK_BYTES = 1_000, 64 << 20
 
 _SEEDS = np.random.default_rng(42).integers(0, 1 << 63, (TRIES * MINIMA, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -371,42 +351,55 @@ def trie_keys(hashes: np.ndarray) -> bytes:
 
 
 def marks(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, digest, fp, keys): digest, 256-bit SimHash and trie nodes of each row's shingle set."""
+    """(id, digest, size, fp, keys) of each row's shingle set: digest, hashes in it, 256-bit SimHash and trie nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             sets = [shingle_set(t, width) for t in as_bytes(b.column(1))]
-            columns = [[xxh3_128_digest(x.tobytes()) for x in sets], [sketch(x, SKETCH_WORDS) for x in sets], [trie_keys(x) for x in sets]]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.binary()) for c in columns)], ["id", "digest", "fp", "keys"])
-
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, digest binary, fp binary, keys binary")
-
-
-def _sets(docs: DataFrame, text_col: str, width: int) -> DataFrame:
-    """(digest, shingles) of each distinct shingle set of ``docs``; shingles: the sorted hashes, 8 bytes each."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
-            raw = [shingle_set(t, width).tobytes() for t in as_bytes(b.column(0))]
-            yield pa.RecordBatch.from_arrays([pa.array([xxh3_128_digest(x) for x in raw], pa.binary()), pa.array(raw, pa.binary())], ["digest", "shingles"])
+            size = pa.array([len(x) for x in sets], pa.int64())
+            digest, fp, keys = (pa.array(c, pa.binary()) for c in ([xxh3_128_digest(x.tobytes()) for x in sets], [sketch(x, SKETCH_WORDS) for x in sets], [trie_keys(x) for x in sets]))
+            yield pa.RecordBatch.from_arrays([b.column(0), digest, size, fp, keys], ["id", "digest", "size", "fp", "keys"])
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "digest binary, shingles binary").dropDuplicates(["digest"])
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, digest binary, size long, fp binary, keys binary")
 
 
 def candidates(reps: DataFrame, budget: int, piece: int = PIECE) -> DataFrame:
-    """(node, comp) of each shingle set in a candidate component of two or more.
+    """(node, digest, least, size, comp) of each shingle set in a candidate component of two or more.
 
-    ``reps``: (node long, fp, keys). Sets that share a node of a trie and whose SimHashes differ in at
-    most ``budget`` bits are candidates, and sets of equal SimHash are; a SimHash enters a node once.
+    ``reps``: (node long, digest, least, size, fp, keys). Sets that share a node of a trie and whose
+    SimHashes differ in at most ``budget`` bits are candidates, and sets of equal SimHash are; a
+    SimHash enters a node once.
     """
-    fps = cut(reps.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("sets")))
+    fps = reps.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("sets"))
     at = cut(reps.join(fps, "fp"))
     keys = F.expr(f"transform(sequence(0, {TRIES - 1}), t -> named_struct('t', t, 'a', substring(keys, t * 8 + 1, 8)))")
-    rows = at.select(F.col("first").alias("node"), "fp", "sets", F.explode(keys).alias("r")).select("node", "sets", F.lit(b"").alias("accept"), F.col("r.t").alias("t"), F.concat("r.a", "fp").alias("s"), F.col("r.a").alias("a"))
+    rows = at.select(F.col("first").alias("node"), "fp", "sets", F.explode(keys).alias("r")).select("node", "sets", F.col("r.t").alias("t"), F.concat("r.a", "fp").alias("s"), F.col("r.a").alias("a"))
     once = rows.filter("sets = 1").union(rows.filter("sets > 1").distinct()).drop("sets")
-    found = components(_tries(once, budget, None, piece))
-    named = at.select("node", "first", "sets").join(found.select(F.col("node").alias("first"), "root"), "first", "left")
-    return named.filter("root is not null or sets > 1").select("node", F.coalesce("root", "first").alias("comp"))
+    found = components(_tries(once, budget, piece))
+    named = at.drop("fp", "keys").join(found.select(F.col("node").alias("first"), "root"), "first", "left")
+    return named.filter("root is not null or sets > 1").select("node", "digest", "least", "size", F.coalesce("root", "first").alias("comp"))
+
+
+def _read_sets(tasks: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """``tasks`` (task, side, node, root, digest, least) with ``shingles``, 8 bytes each, sorted, for digest and least.
+
+    They are hashed again from the text of a row with the id ``least``. If several rows have that id,
+    those of another digest are left out; rows with the same one repeat the task's row.
+    """
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    wanted = cut(tasks.select(F.col("least").alias("id")).distinct())
+    known = among(texts, "id", wanted, "left_semi")
+    if not wanted.filter("id is null").isEmpty():
+        known = known.union(texts.filter("id is null"))
+    rows = known.join(tasks, known["id"].eqNullSafe(tasks["least"])).select("task", "side", "node", "root", "digest", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            raw = [shingle_set(t, width).tobytes() for t in as_bytes(b.column(5))]
+            same = pa.array([xxh3_128_digest(x) == d for x, d in zip(raw, b.column(4).to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(raw, pa.binary())], ["task", "side", "node", "root", "shingles"]).filter(same)
+
+    return rows.mapInArrow(run, "task long, side int, node long, root long, shingles binary")
 
 
 def _near_sets(nodes: np.ndarray, roots: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -441,25 +434,26 @@ def _near_sets(nodes: np.ndarray, roots: np.ndarray, sides: np.ndarray, sets: li
 
 
 def _compared(rows: DataFrame, similarity: float) -> DataFrame:
-    """Links (u, v) within each task of ``rows`` (task long, side int, node, root, shingles)."""
+    """Links (u, v) within each task of ``rows`` (task long, side int, node, root, shingles); a node's repeated rows are one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: dict[int, tuple] = {}
         now = None
 
         def flush() -> pa.RecordBatch:
-            side, node, root, raw = zip(*held, strict=True)
+            side, node, root, raw = zip(*held.values(), strict=True)
             sets = [np.frombuffer(x, np.uint64) for x in raw]
             links = _near_sets(np.array(node), np.array(root), np.array(side), sets, similarity) if len(held) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["u", "v"])
 
-        for b in batches:
-            for task, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if task != now and held:
-                    yield flush()
-                    held = []
-                now = task
-                held.append(tuple(row))
+        for batch in batches:
+            for b in slices([batch], "shingles"):
+                for task, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    if task != now and held:
+                        yield flush()
+                        held = {}
+                    now = task
+                    held[row[1]] = tuple(row)
         if held:
             yield flush()
 
@@ -467,17 +461,10 @@ def _compared(rows: DataFrame, similarity: float) -> DataFrame:
     return rows.repartition("task").sortWithinPartitions("task").mapInArrow(run, "u long, v long")
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder. Unlike a checkpoint it has the size of its files as its estimate; checkpoints
-    multiply estimates at each join, and after two runs of components() the driver is busy with their digits alone."""
-    path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _chunked(members: DataFrame, chunk: int) -> DataFrame:
-    """``members`` (node, comp, ...) with n, the chunks of its component, and c, its own among them."""
-    counts = members.groupBy("comp").agg(F.ceil(F.count("*") / chunk).cast("int").alias("n"))
+    """``members`` (node, size, comp, ...) with n, the chunks of its component, and c, its own among them."""
+    n = F.ceil(F.greatest(F.count("*") / chunk, F.sum("size") * 8 / CHUNK_BYTES))
+    counts = members.groupBy("comp").agg(F.greatest(n, F.lit(1)).cast("int").alias("n"))
     return members.join(counts, "comp").withColumn("c", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
 
 
@@ -489,29 +476,31 @@ def _crossed(members: DataFrame, sets: DataFrame, similarity: float, own: bool)
     return _compared(pairs.join(sets, "node").select(task.alias("task"), side.alias("side"), "node", "root", "shingles"), similarity)
 
 
-def confirmed(members: DataFrame, sets: DataFrame, similarity: float, chunk: int = CHUNK) -> DataFrame:
+def confirmed(members: DataFrame, read: Callable[[DataFrame], DataFrame], similarity: float, chunk: int = CHUNK) -> DataFrame:
     """(node, root) of the nodes that link: components over exact Jaccard ``similarity`` within each component.
 
-    ``members``: (node, comp); ``sets``: (node, shingles). Every pair of a component is compared or
-    joined already. Of a component of many chunks, each chunk is compared first, then one node of
-    each group found, then, where groups are left apart, each pair of chunks.
+    ``members``: (node, digest, least, size, comp); ``read`` adds the shingles to rows of tasks. Every
+    pair of a component is compared or joined already. Of a component of many chunks, each chunk is
+    compared first, then one node of each group found, then, where groups are left apart, each pair of
+    chunks.
     """
     at = cut(_chunked(members, chunk))
-    inside = at.select("node", F.xxhash64("comp", "c").alias("task"))
-    large = at.filter("n > 1").select("node", "comp", "n", "c")
+    inside = at.select(F.xxhash64("comp", "c").alias("task"), F.lit(-1).alias("side"), "node", F.col("node").alias("root"), "digest", "least")
+    large = at.filter("n > 1")
     if large.isEmpty():
-        return components(_stored(_compared(inside.join(sets, "node").withColumns({"side": F.lit(-1), "root": F.col("node")}), similarity)))
-    sets = cut(sets)
-    links = _stored(_compared(inside.join(sets, "node").withColumns({"side": F.lit(-1), "root": F.col("node")}), similarity))
+        return components(_compared(read(inside), similarity))
+    links = cut(_compared(read(inside), similarity))
+    sets = cut(read(large.select(F.lit(0).cast("long").alias("task"), F.lit(0).alias("side"), "node", F.col("node").alias("root"), "digest", "least")).select("node", "shingles"))
+    large = large.select("node", "size", "comp", "n", "c")
 
     def rooted() -> DataFrame:
-        return _stored(large.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node")))
+        return cut(large.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node")))
 
-    firsts = _chunked(rooted().filter("node = root").select("node", "comp", "root"), chunk)
-    links = _stored(links.union(_crossed(firsts, sets, similarity, own=True)))
+    firsts = _chunked(rooted().filter("node = root").select("node", "size", "comp", "root"), chunk)
+    links = cut(links.union(_crossed(firsts, sets, similarity, own=True)))
     now = rooted()
     apart = now.groupBy("comp").agg((F.min("root") < F.max("root")).alias("apart")).filter("apart").select("comp")
-    return components(_stored(links.union(_crossed(now.join(apart, "comp"), sets, similarity, own=False))))
+    return components(links.union(_crossed(now.join(apart, "comp"), sets, similarity, own=False)))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, budget: int = 80, chunk: int = CHUNK) -> DataFrame:
@@ -522,24 +511,36 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     tries (see candidates()) with ``budget`` differing bits of 256, twice what sets of Jaccard 0.8
     differ in on average; every candidate component is then compared exactly.
     Of repeated rows with the smallest id one stays. Rows with null ids fall to a known id of their
-    group; in a group of null ids one row stays. All columns of ``docs`` are returned.
+    group; of a group of null ids alone one row stays. All columns of ``docs`` are returned.
+    Texts move between executors only where more than ``BROADCAST_IDS`` ids are wanted or dropped.
     """
     marked = cut(marks(docs, id_col, text_col, width))
-    reps = cut(marked.groupBy("digest", "fp", "keys").agg(F.min("id").alias("least")).withColumn("node", F.monotonically_increasing_id()))
-    members = _stored(candidates(reps.select("node", "fp", "keys"), budget).join(reps.select("node", "digest", "least"), "node"))
-    wanted = members.select(F.col("least").alias("_least")).distinct()
-    sets = _sets(docs.join(wanted, F.col(id_col).cast("long").eqNullSafe(F.col("_least")), "left_semi"), text_col, width)
-    found = confirmed(members.select("node", "comp"), members.select("node", "digest").join(sets, "digest").select("node", "shingles"), similarity, chunk)
-    found = cut(found.join(reps.select("node", "least"), "node"))
-    named = found.join(found.groupBy("root").agg(F.min("least").alias("component")), "root").select("node", "component")
-    named = cut(reps.join(named, "node", "left").select("digest", F.coalesce("component", "least").alias("component")))
-    rows = cut(marked.select("id", "digest").join(named, "digest", "left").groupBy("component", "id").count())
-    gone = rows.filter(~F.col("id").eqNullSafe(F.col("component"))).select("id")
-    kept = docs.join(gone.withColumnRenamed("id", id_col).filter(F.col(id_col).isNotNull()), id_col, "left_anti").select(docs.columns)
-    if not gone.filter("id is null").isEmpty():
-        kept = kept.filter(F.col(id_col).isNotNull())
-    repeated = cut(rows.filter((F.col("count") > 1) & F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias(id_col)))
-    if repeated.isEmpty():
+    reps = cut(marked.groupBy("digest", "size", "fp", "keys").agg(F.min("id").alias("least")).withColumn("node", F.monotonically_increasing_id()))
+    members = cut(candidates(reps, budget))
+    found = confirmed(members, lambda tasks: _read_sets(tasks, docs, id_col, text_col, width), similarity, chunk)
+    found = cut(found.join(members.select("node", "digest", "least"), "node"))
+    named = found.join(found.groupBy("root").agg(F.min("least").alias("component")), "root").select("digest", "root", "component")
+    named = cut(reps.select("digest", "node", "least").join(named, "digest", "left").select("digest", F.coalesce("root", "node").alias("root"), F.coalesce("component", "least").alias("component")))
+    known = marked.filter("id is not null").select("id", "digest").join(named, "digest").groupBy("component", "id").count()
+    known = cut(known.filter("count > 1 or id <> component"))  # of the other rows nothing changes
+    gone = cut(known.filter("id <> component").select("id"))
+    kept = among(docs, id_col, gone, "left_anti")
+    repeated = cut(known.filter("id = component").select("id"))
+    if not repeated.isEmpty():
+        kept = among(kept, id_col, repeated, "left_anti").union(among(kept, id_col, repeated, "left_semi").dropDuplicates([id_col]))
+    if marked.filter("id is null").isEmpty():
         return kept
-    again = kept[id_col].eqNullSafe(repeated[id_col])
-    return kept.join(repeated, again, "left_anti").union(kept.join(repeated, again, "left_semi").dropDuplicates([id_col]))
+    alone = named.filter("component is null").select(F.col("digest").alias("_digest"), F.col("root").alias("_root"))
+    nameless = _with_digest(docs.filter(F.col(id_col).isNull()), text_col, width).join(alone, "_digest").dropDuplicates(["_root"])
+    return kept.filter(F.col(id_col).isNotNull()).union(nameless.select(docs.columns))
+
+
+def _with_digest(docs: DataFrame, text_col: str, width: int) -> DataFrame:
+    """``docs`` with ``_digest``, that of each row's shingle set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, text_col):
+            digest = pa.array([xxh3_128_digest(shingle_set(t, width).tobytes()) for t in as_bytes(b.column(text_col))], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns, digest], [*b.schema.names, "_digest"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_digest", BinaryType())]))

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from chunklake.llm import audio, components, decontam, langid, line_dedup, main_text, mixing, quality, shards, simhash, toxicity
+from chunklake.llm import audio, common, components, decontam, langid, line_dedup, main_text, mixing, quality, shards, simhash, toxicity
 from chunklake.llm.common import crc_mod
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -301,8 +301,8 @@ def test_trie_equals_brute_force(spark, piece):
     rng = np.random.default_rng(7)
     base = [int(x) for x in rng.integers(0, 2**63, 40)]
     fps = sorted({b ^ sum(1 << int(k) for k in rng.choice(64, rng.integers(0, 5), replace=False)) for b in base for _ in range(12)})
-    d = spark.createDataFrame([(i, bytearray(f.to_bytes(8, "big")), bytearray()) for i, f in enumerate(fps)], "id long, fp binary, accept binary")
-    got = {int.from_bytes(bytes(r.fp), "big"): r.component for r in simhash.groups(d, 3, 4, None, piece).collect()}
+    d = spark.createDataFrame([(i, bytearray(f.to_bytes(8, "big"))) for i, f in enumerate(fps)], "id long, fp binary")
+    got = {int.from_bytes(bytes(r.fp), "big"): r.component for r in simhash.groups(d, 3, 4, piece).collect()}
     assert got == {f: g for f, g in zip(fps, brute_groups(fps), strict=True)}
 
 
@@ -336,6 +336,25 @@ def test_drop_near_duplicates(spark, odd, none):
     assert simhash.drop_near_duplicates(none).count() == 0
 
 
+def test_drop_near_duplicates_ids(spark, monkeypatch):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(None, a), (None, a + " end"), (None, b), (None, c), (7, c), (8, "one text"), (8, "another text"), (9, "another text"), (5, "another text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in (1_000_000, 0):  # by broadcast and by shuffle
+        monkeypatch.setattr(common, "BROADCAST_IDS", most)
+        kept = [tuple(r) for r in simhash.drop_near_duplicates(docs).collect()]
+        assert sorted((str(i), t) for i, t in kept if t not in (a, a + " end")) == [("5", "another text"), ("7", c), ("None", b)]
+        assert sum(t in (a, a + " end") for _, t in kept) == 1
+
+
+def test_many_near_copies(spark):
+    """3,000 copies of one text with one word changed each, cut into chunks by rows, and then by bytes."""
+    words = [f"w{i}" for i in range(100)]
+    rows = [(i, " ".join([*words[: i % 100], f"x{i}", *words[i % 100 + 1 :]])) for i in range(3000)]
+    docs = spark.createDataFrame([*rows, (4000, " ".join(words[::-1]))], "doc_id long, text string")
+    assert {r.doc_id for r in simhash.drop_near_duplicates(docs, chunk=500).collect()} == {0, 4000}
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 300)] + [(500, 500 + i) for i in range(200)] + [(7, 7), (None, 3), (1, 0)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(chain, "u long, v long")).collect()}
