@@ -2,6 +2,7 @@
 
 import html as html_module
 import re
+import time
 from collections import Counter, defaultdict
 from itertools import pairwise
 from zlib import crc32
@@ -257,6 +258,42 @@ def test_main_text_by_hand(spark, sf, weights):
     assert main_text.best_run([]) == (0, 0) and main_text.best_run([-1, 2, -1, 2, -5, 3]) == (1, 4)
 
 
+@pytest.mark.parametrize("weights", ["learned", "published"])
+def test_main_text_loses_nothing(spark, sf, weights):
+    """Whatever stands in an article, but for what names itself boilerplate, is kept."""
+    w = main_text.fit(spark.read.parquet(f"{sf}/pages.parquet")) if weights == "learned" else {}
+    before, after = "<nav><a>Home</a></nav><article><p>The first paragraph has some words.</p>", "<p>The second paragraph comes after it.</p></article><footer>(c)</footer>"
+    kept = {
+        '<h2 id="related-work">Related work</h2>': "Related work", '<h2 id="share-prices">Share prices</h2>': "Share prices", '<section id="search"><p>A search.</p></section>': "A search.",
+        '<p class="alert">Look out!</p>': "Look out!", '<svg-icon name="x"></svg-icon>': "", "<title-bar>Bar</title-bar>": "Bar", "<template-x>X</template-x>": "X", "<svg/>": "", "<script src=x />": "",
+        "<p>It is <math><mi>x</mi></math> here.</p>": "It is x here.", "<table><tr><th>a<th>b<tr><td>1</td><td>2</td></table>": "a b\n1 2", "<xmp><b>&amp;</xmp>": "<b>&amp;", "<p title=Bob's>one</p>": "one",
+        '<p title=">">two</p>': "two", "<p>a < b <3</p>": "a < b <3", "<header><h2>A head</h2></header>": "A head", "<ul><li>one<li>two</ul>": "one\ntwo", "<!--> <p>three</p>": "three", "<noscript>": "",
+        '<section id="comments-on-the-theory"><p>Some say so.</p></section>': "Some say so.", "<p>x&nbsp;&eacute;\n y</p>": "x é y", '<ol class="refs"><li><a href=x>A link</a><li><a>Another</a></ol>': "A link\nAnother",
+        "".join(f"<table><tr><td>{i}</td><td></td><td></td></tr></table>" for i in range(60)): "\n".join(map(str, range(60))),
+    }
+    for html, text in kept.items():
+        want = "\n".join(x for x in ("The first paragraph has some words.", text, "The second paragraph comes after it.") if x)
+        assert main_text.extract(before + html + after, w) == want, html
+        assert main_text.extract(f'<body><form id="aspnetForm"><div class="menu">Menu</div>{before}{html}{after}</form>', w).endswith("comes after it.")
+    for html in ("<aside><p>Buy this now, it is very cheap and good.</p></aside>", "<div class=comments><p>I say a thing or two.</p></div>", "<nav><p>All of it</p></nav>", '<div class="adBox"><p>Cheap</p></div>', "<form><p>Your name</p></form>", "<div role=navigation>Go</div>"):
+        assert main_text.extract(before + html + after, w) == "The first paragraph has some words.\nThe second paragraph comes after it.", html
+
+
+def test_main_text_is_linear():
+    for piece in ('<div class="', "<a b='\">", '<a =">"', "<article>", "<nav><article>", "<!--", "<script>", "<script/>", "</div>", "<", "<p", "<noscript>", "<div>", "&lt"):
+        began = time.process_time()
+        main_text.extract(piece * (1_000_000 // len(piece)), {})
+        assert time.process_time() - began < 15, piece
+
+
+def test_best_run_equals_brute_force():
+    rng = np.random.default_rng(4)
+    for n in [*range(9), 40] * 5:
+        scores = rng.integers(-3, 4, n).tolist()
+        best = max([(sum(scores[i:j]), -j, i) for i in range(n) for j in range(i + 1, n + 1) if sum(scores[i:j]) > 0], default=(0, 0, 0))
+        assert main_text.best_run(scores) == (best[2], -best[1])
+
+
 def test_main_text_frames(spark):
     d = spark.createDataFrame([(1, None, "x"), (2, "<p>hello there</p>", "y")], "page_id long, html string, main_text string")
     assert [r.main_text for r in main_text.main_text(d, {}).orderBy("page_id").collect()] == ["", "hello there"]
