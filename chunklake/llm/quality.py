@@ -32,6 +32,9 @@ DIMENSIONS = 48
 NEIGHBOURS = 15
 #: Weight of a neighbour: similarity to this power.
 SHARPNESS = 4
+#: Characters of a token, beyond which it counts as several.
+PIECE = 64
+
 
 class _Kinds(dict):
     """Letter case, digit, or the mark itself, of a code point."""
@@ -57,7 +60,7 @@ _seen: dict[str, int] = {}
 
 def _token(token: str) -> int:
     """Shape bucket × WORDS + word bucket."""
-    shape = _RUN.sub(r"\1", token[:64].translate(_kinds))[:12]
+    shape = _RUN.sub(r"\1", token.translate(_kinds))
     word = token.lower().translate(_letters)
     return crc32(shape.encode()) % SHAPES * WORDS + crc32(word.encode()) % WORDS
 
@@ -72,13 +75,21 @@ def _tokens(unique: list[str]) -> np.ndarray:
     return np.array(found, np.int64)
 
 
+def _pieces(tokens: pa.Array, row: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Tokens and their rows, with those of over PIECE characters cut into several."""
+    if (pc.max(pc.utf8_length(tokens)).as_py() or 0) <= PIECE:
+        return tokens, row
+    cut = [[t[i : i + PIECE] for i in range(0, max(1, len(t)), PIECE)] for t in tokens.to_pylist()]
+    return pa.array([p for ps in cut for p in ps], pa.string()), np.repeat(row, [len(ps) for ps in cut])
+
+
 def term_counts(texts: pa.Array) -> np.ndarray:
     """Counts (rows × TERMS) of the terms of whole texts; null and blank texts have none."""
     parts = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
-    coded = parts.flatten().dictionary_encode()
     lengths = pc.list_value_length(parts).to_numpy(zero_copy_only=False)
+    tokens, row = _pieces(parts.flatten(), np.repeat(np.arange(len(lengths)), lengths))
+    coded = tokens.dictionary_encode()
     which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    row = np.repeat(np.arange(len(lengths)), lengths)
     unique = coded.dictionary.to_pylist()
     blank = np.array([not u for u in unique], bool)
     if blank.any():
