@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,7 +30,6 @@ UNKNOWN = "und"
 
 #: ASCII letters and all bytes of other characters stay; the rest parts words.
 _LETTERS = np.array([b if 0x61 <= b <= 0x7A or b >= 0x80 else 32 for b in range(256)], np.uint8)
-_ANY_LETTER = re.compile(r"[^\W\d_]")
 
 
 def ngram_counts(texts: pa.Array) -> np.ndarray:
@@ -124,8 +122,7 @@ class Model:
         near = tfidf(ngram_counts(texts), self.idf) @ self.centroids.T
         best = near.argmax(axis=1)
         cosine = np.clip(near[np.arange(len(best)), best].astype(np.float64), 0, 1)
-        ascii_letter = pc.match_substring_regex(pc.fill_null(texts.cast(pa.string()), ""), "[A-Za-z]").to_pylist()
-        lettered = np.array([a or bool(t and _ANY_LETTER.search(t)) for a, t in zip(ascii_letter, texts.to_pylist(), strict=True)])
+        lettered = pc.match_substring_regex(pc.fill_null(texts.cast(pa.string()), ""), r"\p{L}").to_numpy(zero_copy_only=False)
         language = [self.languages[i] if a else UNKNOWN for i, a in zip(best, lettered, strict=True)]
         return language, np.where(lettered, cosine, 0.0), ~lettered | (1 - cosine > self.limits[best])
 
@@ -134,7 +131,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
     """Learn from the rows of ``docs`` with a language (the caller leaves out held-out ones).
 
     Document frequencies cover all those rows. The centroids come from at most ``sample`` rows of
-    each language, the first by a hash of the id, clustered in one task per language.
+    each language, the first by a hash of the id, clustered in one task per language from their counts.
     """
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     n, df = document_frequencies(known)
@@ -147,9 +144,18 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
     ids = thin.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= sample)
     chosen = known.join(F.broadcast(ids.select("id", "lang").distinct()), ["id", "lang"])  # at most `sample` rows for each language
 
+    def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _steps(batches, "text"):
+            counts = ngram_counts(b.column(1))
+            used = [np.flatnonzero(c) for c in counts]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(used, pa.list_(pa.int32())), pa.array([c[u] for c, u in zip(counts, used, strict=True)], pa.list_(pa.int32()))], ["lang", "digest", "buckets", "counts"])
+
     def centroids(pdf: pd.DataFrame) -> pd.DataFrame:
-        texts = sorted(set(pdf.text))
-        x = np.concatenate([tfidf(ngram_counts(pa.array(texts[i : i + ROWS])), idf) for i in range(0, len(texts), ROWS)])
+        pdf = pdf.drop_duplicates("digest").sort_values("digest")
+        x = np.zeros((len(pdf), BUCKETS), np.float32)
+        for i, (at, n) in enumerate(zip(pdf.buckets, pdf.counts, strict=True)):
+            x[i, at] = n
+        x = tfidf(x, idf)
         x = x[x.any(axis=1)]
         if not len(x):
             return pd.DataFrame({"lang": [], "centroid": [], "limit": []})
@@ -158,7 +164,8 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
         used = [i for i in range(len(c)) if (own == i).any()]
         return pd.DataFrame({"lang": pdf.lang.iloc[0], "centroid": [c[i].astype("<f4").tobytes() for i in used], "limit": float(np.quantile(distance, WITHIN)) * SLACK})
 
-    got = chosen.groupBy("lang").applyInPandas(centroids, "lang string, centroid binary, limit double").toPandas()
+    counted = chosen.select("lang", "text", F.md5("text").alias("digest")).mapInArrow(sparse, "lang string, digest string, buckets array<int>, counts array<int>")
+    got = counted.groupBy("lang").applyInPandas(centroids, "lang string, centroid binary, limit double").toPandas()
     got = got.assign(_c=[bytes(c) for c in got.centroid]).sort_values(["lang", "_c"])
     vectors = np.stack([np.frombuffer(bytes(c), "<f4") for c in got.centroid]) if len(got) else np.zeros((0, BUCKETS), np.float32)
     model = Model(idf, vectors, got.lang.tolist(), got.limit.to_numpy(np.float64))

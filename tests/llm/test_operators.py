@@ -89,6 +89,38 @@ def test_language(spark, docs, odd, none):
     langid.fit(odd)
 
 
+def test_no_letter_is_und(spark, docs):
+    """Letters are those of category L; numbers in superscript, circles and fractions, marks and signs aren't."""
+    model = langid.fit(docs)
+    texts = {"²": "und", "½ ①": "und", "١٢": "und", "_ - 5": "und", "\u0301": "und", "ª": None, "漢": None, "ǅ": None}
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in langid.identify(rows, model).collect():
+        assert (r.language.lang_pred == "und") == (texts[r.text] == "und"), r.text
+
+
+def test_nearest_centroid_equals_brute_force(docs):
+    """Each text's cosine with every centroid, by hashes of its n-grams counted one at a time."""
+    model, rows = langid.fit(docs), docs.limit(40).collect()
+
+    def bucket(gram):
+        h = gram[0] * 0x9E3779B1 ^ gram[1] * 0x85EBCA77
+        if len(gram) == 3:
+            h = (h & 0xFFFFFFFF) * 0x27D4EB2F ^ gram[2] * 0x165667B1
+        return (h & 0xFFFFFFFF) >> 19
+
+    language, score, _ = model.predict(pa.array([r.text for r in rows]))
+    for r, name, cosine in zip(rows, language, score, strict=True):
+        kept = bytes(b if 0x61 <= b <= 0x7A or b >= 0x80 else 32 for b in f" {r.text.lower()} ".encode())
+        while b"  " in kept:
+            kept = kept.replace(b"  ", b" ")
+        grams = Counter(bucket(kept[i : i + n]) for n in (2, 3) for i in range(len(kept) - n + 1))
+        x = np.zeros(langid.BUCKETS)
+        for b, n in grams.items():
+            x[b] = np.sqrt(n) * model.idf[b]
+        near = model.centroids @ (x / np.linalg.norm(x))
+        assert abs(near.max() - cosine) < 1e-4 and (model.languages[int(near.argmax())] == name or np.sort(near)[-2] > near.max() - 1e-4)
+
+
 def test_ngrams_by_hand():
     text = "Ab1c é"
     counts = langid.ngram_counts(pa.array([text, None, ""]))
@@ -520,6 +552,9 @@ def test_terms_by_hand():
     want[quality.SHAPES + quality.PAIRS + 1] += 1
     assert {i: int(n) for i, n in enumerate(counts[0]) if n} == dict(want)
     assert not counts[1:3].any() and counts[3].sum() == 2
+    alike = quality.term_counts(pa.array(["x" * 64 + "1a" * 40 + end for end in ("b", "?", "B9" * 100)]))
+    assert len({c.tobytes() for c in alike}) == 3  # the whole of a long token counts
+    assert (quality.term_counts(pa.array(["ab" * 64]))[0, : quality.SHAPES].sum(), quality.term_counts(pa.array(["ab" * 32]))[0, : quality.SHAPES].sum()) == (2, 1)
 
 
 # --- pipeline stages on odd and empty tables
