@@ -10,18 +10,18 @@ from chunklake.llm.common import cut, drop_table
 MAX_ROUNDS = 60
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step. ``edges`` has (u, v) once for each undirected edge.
+def _star(edges: DataFrame, large: bool, held: list[DataFrame]) -> DataFrame:
+    """One star step. ``edges`` has (u, v) once for each undirected edge; ``held`` takes the table that it writes.
 
-    The minimum of each neighbourhood comes from a partial aggregate and is joined back, so a hub
-    never has its neighbours in one group; a skewed join can be split.
+    The minimum of each neighbourhood comes from a partial aggregate, is written, and is joined back:
+    a hub never has its neighbours in one group, and a skewed join of two plain tables can be split.
     """
     low, high = F.least("u", "v"), F.greatest("u", "v")
     if large:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = edges.select(high.alias("u"), low.alias("v"))
-    mins = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    held.append(mins := cut(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))))
     joined = both.join(mins, "u")
     if large:
         out = joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -43,9 +43,10 @@ def components(edges: DataFrame) -> DataFrame:
         sign = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if sign == before or not sign[0]:
             break
-        before, last = sign, now
-        now = cut(_star(_star(now, large=True), large=False))
-        drop_table(last)
+        before, held = sign, [now]
+        now = cut(_star(_star(now, True, held), False, held))
+        for table in held:
+            drop_table(table)
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
