@@ -3,7 +3,7 @@
 A recording becomes frames of twelve pitch-class energies; filters over an integral image of the
 frames give two bits each, packed into one 32-bit integer per frame. Two recordings align at an
 offset if many of their integers are equal at that offset (the peak of a histogram of offsets) and
-few bits differ over the overlap.
+few bits differ over the overlap. The histogram is a join on the integers: an inverted index.
 """
 
 from __future__ import annotations
@@ -17,19 +17,18 @@ from pyspark.sql import functions as F
 
 from chunklake.llm.common import cut
 
-#: Samples of a frame and between frames; frames that a filter may span.
-FRAME, HOP, SPAN = 1024, 256, 16
+#: Samples of a frame and between frames; frames that a filter may span; frames transformed at once.
+FRAME, HOP, SPAN, STEP_FRAMES = 1024, 256, 16, 2048
 #: Reference pitch and the range of frequencies that count.
 PITCH_A, LOWEST, HIGHEST = 440.0, 60.0, 3520.0
 #: Filters; and the values between which a filter's two bits change, on either side of 0.
 FILTERS, STEP = 16, 0.25
 #: Equal integers at an offset that make a candidate, share of differing bits up to which it is a match, and shared frames
-#: at least; half of the shorter recording must be shared too.
+#: at least; half of the shorter recording must be shared too. Of a recording of fewer frames all must be shared, and the
+#: share of bits that may differ is smaller in proportion, as chance finds a place for a few frames in any long recording.
 VOTES, BIT_ERRORS, OVERLAP = 2, 0.18, 24
-#: Queries that are broadcast at once, and integers of theirs.
-BLOCK = 10_000
-#: Pairs of equal integers handled at once.
-STEP_PAIRS = 1 << 21
+#: Query integers that are broadcast at most: 24 MB of rows. Beyond, an integer of more than HOT recordings is salted.
+BROADCAST_ROWS, HOT = 1_000_000, 100_000
 
 
 def _filters() -> list[tuple[int, int, int, int]]:
@@ -41,12 +40,12 @@ def chroma(samples: np.ndarray, rate: int) -> np.ndarray:
     """Unit vectors of the energies of the pitch classes (frames × 12); silent frames are 0."""
     if len(samples) < FRAME:
         return np.zeros((0, 12), np.float32)
-    frames = np.lib.stride_tricks.sliding_window_view(samples.astype(np.float32), FRAME)[::HOP] * np.hanning(FRAME).astype(np.float32)
-    power = np.abs(np.fft.rfft(frames, axis=1)) ** 2
+    windows = np.lib.stride_tricks.sliding_window_view(samples, FRAME)[::HOP]
     hz = np.fft.rfftfreq(FRAME, 1 / rate)
     used = (hz >= LOWEST) & (hz <= HIGHEST)
-    pitch = np.round(12 * np.log2(np.maximum(hz, 1) / PITCH_A)).astype(int) % 12
-    energy = np.sqrt(power[:, used] @ np.eye(12)[pitch[used]])
+    pitch = np.eye(12)[np.round(12 * np.log2(np.maximum(hz, 1) / PITCH_A)).astype(int)[used] % 12]
+    taper = np.hanning(FRAME).astype(np.float32)
+    energy = np.concatenate([np.sqrt(np.abs(np.fft.rfft(windows[i : i + STEP_FRAMES] * taper, axis=1))[:, used] ** 2 @ pitch) for i in range(0, len(windows), STEP_FRAMES)])
     size = np.linalg.norm(energy, axis=1, keepdims=True)
     return np.where(size > 1e-6 * FRAME, energy / np.maximum(size, 1e-12), 0).astype(np.float32)
 
@@ -120,83 +119,86 @@ def align(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[float, int]:
     return float(np.bitwise_count(a[lo:hi] ^ b[lo + offset : hi + offset]).sum()) / (32 * (hi - lo)), hi - lo
 
 
-class Index:
-    """The integers of a block of queries, in order."""
-
-    def __init__(self, ids: list[int], prints: list[np.ndarray]) -> None:
-        self.ids, self.prints = ids, prints
-        lengths = [len(p) for p in prints]
-        values = np.concatenate([*prints, np.zeros(0, np.uint32)])
-        order = np.argsort(values, kind="stable")
-        self.values = values[order]
-        self.owner = np.repeat(np.arange(len(ids)), lengths)[order]
-        self.place = np.concatenate([*(np.arange(n) for n in lengths), np.zeros(0, int)])[order]
-
-    def matches(self, own_id: int | None, prints: np.ndarray) -> Iterator[tuple[int, int, float, int]]:
-        """(query, offset, bit errors, frames) of the queries that align with a recording; the best offset of each."""
-        left, right = np.searchsorted(self.values, prints, "left"), np.searchsorted(self.values, prints, "right")
-        hits: list[np.ndarray] = []
-        total = np.cumsum(right - left)
-        lo = 0
-        while lo < len(prints):  # bounded steps, whatever one integer meets
-            hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + STEP_PAIRS, "right")))
-            n = (right - left)[lo:hi]
-            ends = np.cumsum(n)
-            at = np.arange(ends[-1]) - np.repeat(ends - n - left[lo:hi], n)
-            hits.append(np.stack(np.unique((self.owner[at] << 32) + (np.repeat(np.arange(lo, hi), n) - self.place[at] + (1 << 31)), return_counts=True)))
-            lo = hi
-        if not hits:
-            return
-        keys, counts = np.concatenate(hits, axis=1)
-        keys, where = np.unique(keys, return_inverse=True)
-        counts = np.bincount(where, weights=counts)
-        best: dict[int, tuple[float, int, int]] = {}
-        for key in keys[counts >= VOTES].tolist():
-            q, offset = key >> 32, (key & 0xFFFFFFFF) - (1 << 31)
-            errors, frames = align(self.prints[q], prints, offset)
-            if frames >= max(OVERLAP, min(len(prints), len(self.prints[q])) / 2) and errors <= BIT_ERRORS and self.ids[q] != own_id:
-                best[q] = min(best.get(q, (9.0, 0, 0)), (errors, offset, frames))
-        for q, (errors, offset, frames) in best.items():
-            yield q, offset, errors, frames
-
-
-def search(prints: DataFrame, is_query: Column, block: int = BLOCK) -> DataFrame:
-    """For each query row of ``prints`` (id, prints): how many other recordings align with it, and the best of them.
-
-    (id, n_matches, best_id, best_offset, best_bit_errors, best_frames); best: fewest bit errors,
-    then the smallest id. The queries are broadcast in blocks of a fixed size, and each block meets
-    all rows where they lie; counts are summed, so a group of copies never becomes rows of pairs.
-    Rows with a null id aren't queries; queries without prints have no matches.
+def classes(prints: DataFrame, is_query: Column | None = None) -> DataFrame:
+    """(node, prints, class_id, n, asked) of each distinct fingerprint of ``prints`` (id, prints): its smallest id, its rows,
+    and how many of them are queries. Recordings without prints have no class."""
+    asked = F.coalesce(is_query, F.lit(False)) if is_query is not None else F.lit(False)
+    found = prints.filter(F.size("prints") > 0).groupBy("prints").agg(F.min("id").alias("class_id"), F.count("*").alias("n"), F.count_if(asked & F.col("id").isNotNull()).alias("asked"))
+    return found.withColumn("node", F.monotonically_increasing_id())
+
+
+def _postings(found: DataFrame) -> DataFrame:
+    """(node, at, value): where each run of equal integers begins. A steady sound is one row, however long it lasts."""
+    runs = "filter(transform(prints, (x, i) -> struct(i as at, x as value)), (r, i) -> i = 0 or r.value <> prints[i - 1])"
+    return found.select("node", F.explode(F.expr(runs)).alias("r")).select("node", "r.at", "r.value")
+
+
+def _met(asked: DataFrame, held: DataFrame) -> DataFrame:
+    """Postings of queries (q, at, value) beside the equal ones of other recordings (node, at, value): (q, node, offset)."""
+    rows = asked.count()
+    q = asked.select("q", F.col("at").alias("q_at"), "value")
+    if rows <= BROADCAST_ROWS:
+        met = held.join(F.broadcast(q), "value")
+    else:
+        salts = held.groupBy("value").count().filter(F.col("count") > HOT).select("value", F.ceil(F.col("count") / HOT).cast("int").alias("salts"))
+        salts = cut(salts.join(q.select("value").distinct(), "value", "left_semi"))
+        n = F.coalesce("salts", F.lit(1))
+        dealt = held.join(salts, "value", "left").withColumn("salt", F.pmod(F.xxhash64("node"), n).cast("int"))
+        spread = q.join(salts, "value", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), n - 1)))
+        met = dealt.drop("salts").join(spread.drop("salts"), ["value", "salt"])
+    return met.filter("q <> node").select("q", "node", (F.col("at") - F.col("q_at")).alias("offset"))
+
+
+def aligned(found: DataFrame) -> DataFrame:
+    """(q, node, offset, bit_errors, frames) of the classes that align with a class of queries, at their best offset.
+
+    Equal integers meet by a join on the integer and are counted by offset; offsets of VOTES or more
+    (any, if a recording has fewer runs or is shorter than OVERLAP) are compared bit by bit.
+    """
+    asked = cut(_postings(found.filter("asked > 0")).withColumnRenamed("node", "q"))
+    votes = _met(asked, _postings(found)).groupBy("q", "node", "offset").count()
+    a, b = found.select(F.col("node").alias("q"), F.col("prints").alias("a")), found.select("node", F.col("prints").alias("b"))
+    few = lambda c: F.expr(f"size({c}) < {OVERLAP} or size(filter({c}, (x, i) -> i = 0 or x <> {c}[i - 1])) < {VOTES}")
+    both = votes.filter(F.col("count") >= VOTES).join(a, "q").join(b, "node")
+    rest = votes.filter(F.col("count") < VOTES)
+    single = rest.join(a.filter(few("a")), "q").join(b, "node")
+    single = single.union(rest.join(b.filter(few("b")), "node").join(a, "q").select(single.columns))
+    lo, hi = F.greatest(F.lit(0), -F.col("offset")), F.least(F.expr("size(a)"), F.expr("size(b)") - F.col("offset"))
+    shorter = F.least(F.expr("size(a)"), F.expr("size(b)"))
+    near = (
+        both.union(single.select(both.columns)).withColumn("lo", lo).withColumn("frames", hi - F.col("lo"))
+        .filter((F.col("frames") >= F.least(F.lit(OVERLAP), shorter)) & (F.col("frames") * 2 >= shorter))
+        .withColumn("pairs", F.expr("zip_with(slice(a, lo + 1, frames), slice(b, lo + offset + 1, frames), (x, y) -> bit_count(cast(x ^ y as bigint) & 4294967295))"))
+        .withColumn("bit_errors", F.expr("aggregate(pairs, 0, (s, x) -> s + x)") / (32 * F.col("frames")))
+        .filter(F.col("bit_errors") <= F.least(F.lit(1.0), F.col("frames") / OVERLAP) * BIT_ERRORS)
+    )
+    best = near.groupBy("q", "node").agg(F.min(F.struct("bit_errors", "offset", "frames")).alias("best"))
+    return best.select("q", "node", "best.offset", "best.bit_errors", "best.frames")
+
+
+def search(prints: DataFrame, is_query: Column) -> DataFrame:
+    """One row for each query row of ``prints`` (id, prints) and each class of recordings that aligns with it.
+
+    (id, match_class, n_recordings, offset, bit_errors, frames): the smallest id of the recordings of
+    one fingerprint, how many these are (the query itself doesn't count), and where they align best.
+    A query without a match has one row of nulls with n_recordings 0; one without prints has no
+    match. Copies are one class, so they never become pairs. Rows with a null id aren't queries; they
+    count as recordings. Queries of one id and equal prints are one.
     """
     prints = cut(prints)
-    queries = cut(prints.filter(is_query & F.col("id").isNotNull()).dropDuplicates(["id"]))
-    total = queries.count()
-    out = None
-    for k in range(max(1, -(-total // block))):
-        mine = queries.filter(F.pmod(F.xxhash64("id"), F.lit(max(1, -(-total // block)))) == k)
-        rows = [(r.id, np.array(r.prints or [], np.int32).view(np.uint32)) for r in mine.toLocalIterator()]
-        held = prints.sparkSession.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            index = Index(*held.value)
-            counts = np.zeros(len(index.ids), np.int64)
-            best: dict[int, tuple] = {}
-            for b in batches:
-                flat, ends = b.column(1).flatten().to_numpy().view(np.uint32), np.cumsum([0, *(n or 0 for n in b.column(1).value_lengths().to_pylist())])
-                for i, own in enumerate(b.column(0).to_pylist()):
-                    for q, offset, errors, frames in index.matches(own, flat[ends[i] : ends[i + 1]]):
-                        counts[q] += 1
-                        if own is not None:
-                            best[q] = min(best.get(q, (9.0, 0, 0, 0)), (errors, own, offset, frames))
-            found = [q for q in range(len(index.ids)) if counts[q] and q in best]
-            cols = [[index.ids[q] for q in found], [int(counts[q]) for q in found], *([best[q][j] for q in found] for j in range(4))]
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["id", "n", "errors", "other", "offset", "frames"])
-
-        found = prints.mapInArrow(run, "id long, n long, errors double, other long, offset int, frames int")
-        part = found.groupBy("id").agg(F.sum("n").alias("n"), F.min(F.struct("errors", "other", "offset", "frames")).alias("best"))
-        part = mine.select("id").join(part, "id", "left")
-        out = part if out is None else out.union(part)
-    return out.select(
-        "id", F.coalesce("n", F.lit(0)).alias("n_matches"), F.col("best.other").alias("best_id"), F.col("best.offset").alias("best_offset"), F.col("best.errors").alias("best_bit_errors"), F.col("best.frames").alias("best_frames")
-    )
+    found = cut(classes(prints, is_query))
+    queries = prints.filter(is_query & F.col("id").isNotNull()).dropDuplicates(["id", "prints"])
+    queries = queries.join(found.filter("asked > 0").select("prints", F.col("node").alias("q"), F.col("n").alias("copies"), F.col("class_id").alias("own")), "prints", "left").drop("prints")
+    hits = cut(aligned(found)).join(found.select("node", "class_id", "n"), "node").drop("node")
+    other = queries.join(hits, "q").select("id", F.col("class_id").alias("match_class"), F.col("n").alias("n_recordings"), "offset", "bit_errors", "frames")
+    lengths = found.filter("asked > 0 and n > 1").select(F.col("node").alias("q"), F.size("prints").alias("frames"))
+    same = queries.join(lengths, "q").select("id", F.col("own").alias("match_class"), (F.col("copies") - 1).alias("n_recordings"), F.lit(0).alias("offset"), F.lit(0.0).alias("bit_errors"), "frames")
+    none = queries.join(hits.select("q").distinct(), "q", "left_anti").filter("q is null or copies = 1")
+    empty = none.select("id", F.lit(None).cast("long").alias("match_class"), F.lit(0).cast("long").alias("n_recordings"), *(F.lit(None).cast(t).alias(c) for c, t in (("offset", "int"), ("bit_errors", "double"), ("frames", "int"))))
+    return other.union(same).union(empty)
+
+
+def membership(prints: DataFrame) -> DataFrame:
+    """(id, class_id) of every row of ``prints``: the smallest id of its fingerprint; null without prints."""
+    found = classes(prints).select("prints", "class_id")
+    return prints.join(found, "prints", "left").select("id", "class_id")

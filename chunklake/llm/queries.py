@@ -39,6 +39,12 @@ def op3_chroma_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.search(prints, F.col("id") % 20 == 0).withColumnRenamed("id", "vec_id")
 
 
+def op3_chroma_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of equal fingerprints of every row, by which the search names what it finds."""
+    prints = audio.fingerprints(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", decode=audio.notes)
+    return audio.membership(prints).withColumnRenamed("id", "vec_id")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -90,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_page_boilerplate,
         op2_language_id,
         op3_chroma_search,
+        op3_chroma_classes,
         op4_decontamination,
         op5_sharding,
         op6_main_text,

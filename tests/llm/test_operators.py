@@ -134,7 +134,7 @@ def test_ngrams_by_hand():
 # --- 3 audio
 
 
-def test_search_equals_brute_force(spark, sf):
+def test_search_equals_brute_force(spark, sf, monkeypatch):
     e = spark.read.parquet(f"{sf}/embeddings.parquet").limit(150).toPandas()
     rng, rows = np.random.default_rng(1), []
     for i, v in enumerate(e.embedding):
@@ -142,24 +142,52 @@ def test_search_equals_brute_force(spark, sf):
         if i % 10 == 0:  # a copy that begins later, and a noisy one
             rows.append((1000 + i, [float(x) for x in v[6:]]))
             rows.append((2000 + i, [float(x + y) for x, y in zip(v, rng.normal(0, 0.004, len(v)), strict=True)]))
-    rows += [(5001, None), (5003, [0.5]), (None, rows[0][1])]
+    short = [float(x) for x in e.embedding[3][:11]]  # under OVERLAP frames
+    rows += [(5001, None), (5003, [0.5]), (None, rows[0][1]), (5100, short), (5101, [*short, 0.9]), (None, [*short, 0.9])]
     prints = audio.fingerprints(spark.createDataFrame(rows, "id long, v array<float>"), "id", "v", decode=audio.notes).cache()
     p = {r.id: np.array(r.prints, np.int32).view(np.uint32) for r in prints.filter("id is not null").collect()}
-    got = {r.id: r for r in audio.search(prints, F.col("id") % 20 == 0).collect()}
-    want = defaultdict(set)
-    for q in (i for i in p if i % 20 == 0):
-        for i in p:
-            least = max(audio.OVERLAP, min(len(p[q]), len(p[i])) / 2)
-            for offset in range(-len(p[q]), len(p[i])):
-                errors, n = audio.align(p[q], p[i], offset)
-                if i != q and n >= least and errors <= audio.BIT_ERRORS:
-                    want[q].add(i)
-    assert set(got) == {i for i in p if i % 20 == 0}
-    found = sum(min(got[q].n_matches, len(want[q])) for q in got)
-    assert found >= 0.9 * sum(map(len, want.values())) and sum(map(len, want.values())) > 10
-    assert got[20].best_id in want[20]
-    blocks = {r.id: r.n_matches for r in audio.search(prints, F.col("id") % 20 == 0, block=4).collect()}
-    assert blocks == {k: r.n_matches for k, r in got.items()}
+    member = {r.id: r.class_id for r in audio.membership(prints).collect()}
+    for most in (audio.BROADCAST_ROWS, 0):  # a broadcast, and a salted shuffle join
+        monkeypatch.setattr(audio, "BROADCAST_ROWS", most)
+        monkeypatch.setattr(audio, "HOT", 5)
+        rows_ = audio.search(prints, F.col("id") % 20 == 0).collect()
+        got = defaultdict(dict)
+        for r in rows_:
+            got[r.id] |= {r.match_class: r} if r.n_recordings else {}
+        want = defaultdict(set)
+        for q in (i for i in p if i % 20 == 0):
+            for i in p:
+                shorter = min(len(p[q]), len(p[i]))
+                least = max(min(audio.OVERLAP, shorter), shorter / 2, 1)
+                for offset in range(-len(p[q]), len(p[i])):
+                    errors, n = audio.align(p[q], p[i], offset)
+                    if i != q and n >= least and errors <= audio.BIT_ERRORS * min(1, n / audio.OVERLAP):
+                        want[q].add(member[i])
+        assert {r.id for r in rows_} == {i for i in p if i % 20 == 0}
+        own = {q: {member[q]} for q in p}  # whose other rows are counted, below
+        assert all(set(got[q]) - own[q] <= want[q] for q in p)
+        pairs = sum(len(want[q] - own[q]) for q in p)
+        found_pairs = sum(len(set(got[q]) - own[q]) for q in p)
+        assert found_pairs >= 0.9 * pairs > 9, (found_pairs, pairs, {q: (len(p[q]), len(got[q]), len(want[q])) for q in want if len(got[q]) < len(want[q])}, want[80], len(p[5100]), len(p[5101]))
+        for q, found in got.items():
+            for c, r in found.items():
+                if c != member[q]:
+                    assert (r.bit_errors, r.frames) == pytest.approx(audio.align(p[q], p[c], r.offset))
+        assert got[0][0].n_recordings == 1 and got[5100][5101].n_recordings == 2 and got[5100][5101].offset == 0  # a null id counts; short ones match
+
+
+def test_search_of_odd_tables(spark):
+    silent = b"\0\0" * 60_000
+    rng = np.random.default_rng(5)
+    long = (rng.normal(0, 3000, 400_000)).astype("<i2").tobytes()
+    rows = [(0, silent), (1, silent), (2, silent[:-4000]), (20, long), (20, long), (3, long[200_000:]), (40, None), (60, b""), (None, long), (None, None)]
+    d = spark.createDataFrame([(i, m, 1, "x", 2) for i, m in rows], "id long, media binary, node long, prints string, q int")
+    prints = audio.fingerprints(d, "id", "media").cache()
+    got = {(r.id, r.match_class): r.n_recordings for r in audio.search(prints, F.col("id") % 20 == 0).collect()}
+    assert got == {(0, 0): 1, (0, 2): 1, (20, 20): 2, (20, 3): 1, (40, None): 0, (60, None): 0}
+    none = audio.fingerprints(d.limit(0), "id", "media")
+    assert audio.search(none, F.col("id") % 20 == 0).count() == 0 and audio.membership(none).count() == 0
+    assert audio.membership(prints).count() == len(rows)
 
 
 def test_pcm_and_silence():
