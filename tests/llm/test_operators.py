@@ -280,6 +280,37 @@ def test_shards_split_a_large_group(spark):
     assert sum(sorted(same.values())[-3:]) >= 0.9 * 1000  # in as few shards as hold it, nearly
 
 
+@pytest.mark.parametrize("linked", [0.9, 1.0])
+def test_shards_of_mostly_copies(spark, linked):
+    """Groups of 2, 5 and 20 copies: hardly any is cut, although no shard has room to spare."""
+    n = 6000
+    many = int(n * linked)
+    text = [f"g{i // (2, 5, 20)[i * 3 // many]}-{i * 3 // many}" if i < many else f"alone {i}" for i in range(n)]
+    rows = shards.shard(spark.createDataFrame(list(enumerate(text)), "doc_id long, text string")).collect()
+    check_shards(rows)
+    where = defaultdict(Counter)
+    for r in rows:
+        where[text[r.doc_id]][r.shard] += 1
+    groups = [c for c in where.values() if sum(c.values()) > 1]
+    assert sum(len(c) > 1 for c in groups) <= 0.05 * len(groups)
+    assert sum(sum(c.values()) - max(c.values()) for c in groups) <= 0.04 * many
+
+
+def test_flows():
+    assert shards.flows({(0, 1): 10, (1, 0): 10}, [0, 0]) == {(0, 1): 10, (1, 0): 10}  # places are changed
+    assert shards.flows({(0, 1): 10, (1, 0): 4}, [0, 0])[0, 1] == pytest.approx(4, abs=0.1)
+    assert shards.flows({(0, 1): 10}, [0, 3])[0, 1] == pytest.approx(3, abs=0.1)
+    rng = np.random.default_rng(6)
+    for _ in range(20):
+        wanted = {(a, b): int(rng.integers(0, 100)) for a in range(6) for b in range(6) if a != b}
+        room = rng.integers(0, 30, 6).tolist()
+        got = shards.flows(wanted, room)
+        for s in range(6):
+            come, go = (sum(x for k, x in got.items() if k[i] == s) for i in (1, 0))
+            assert come <= (room[s] + go) * 1.01 + 0.1
+        assert all(0 <= got.get(k, 0) <= n for k, n in wanted.items())
+
+
 # --- 6 main text
 
 
