@@ -19,18 +19,21 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chunklake.llm.common import bounded_sample, slices
 
-#: Bounds of the labelled sample.
-TOXIC_SAMPLE, CLEAN_SAMPLE = 1_200, 2_400
+#: Bounds of the labelled sample: rows of either label, and bytes of text in all.
+TOXIC_SAMPLE, CLEAN_SAMPLE, SAMPLE_BYTES = 1_200, 2_400, 32 << 20
 #: Lengths of the prefixes that are features of a word.
 PREFIXES = (3, 4, 5, 6, 7, 8)
 #: A feature marks toxic text if its odds between toxic and clean sample documents are at least so high, and chance
 #: would give so uneven counts to fewer than one feature in SURE times the number of its kind.
 LEAST_ODDS, SURE = 12.0, 10.0
+#: Sample documents that a feature must occur in, to have a weight; how strongly weights are drawn to 0, those of
+#: marking features and others; steps of the fit.
+SUPPORT, MARK_RIDGE, RIDGE, STEPS = 5, 0.02, 1.0, 40
 #: Marginal from which a token is an offending one.
 OFFENDING = 0.5
 
@@ -77,13 +80,16 @@ class Model:
 
     def marginals(self, emissions: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Chance of toxic of every token; ``emissions`` holds the documents one after another."""
+        forward, backward = self.forward_backward(emissions, lengths)
+        return _sigmoid(forward + backward - emissions)
+
+    def forward_backward(self, emissions: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log odds of toxic of each token from the tokens up to it, and from it to the end; both with its own emission."""
         starts = np.zeros(len(emissions), bool)
-        begin = (np.cumsum(lengths) - lengths)[lengths > 0]
-        starts[begin] = True
+        starts[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
         forward = _chain(emissions, starts, self.transitions)
         ends = np.roll(starts, -1)[::-1] if len(starts) else starts
-        backward = _chain(emissions[::-1], ends, self.transitions.T)[::-1]
-        return _sigmoid(forward + backward - emissions)
+        return forward, _chain(emissions[::-1], ends, self.transitions.T)[::-1]
 
     def document_scores(self, marginals: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Score of each document by the calibrated curve; 0 without tokens."""
@@ -143,23 +149,16 @@ def _chain(emissions: np.ndarray, starts: np.ndarray, t: np.ndarray) -> np.ndarr
     return out.reshape(-1)[:n]
 
 
-def _surprise(a: int, b: int, base: float) -> float:
-    """Chernoff bound, as a negative logarithm, on the chance that ``a`` or more of a + b fall to a class of share ``base``."""
-    q = a / (a + b)
-    return (a + b) * (q * np.log(q / base) + ((1 - q) * np.log((1 - q) / (1 - base)) if q < 1 else 0.0))
-
-
-def _distinct(documents: list[set[str]]) -> list[int]:
-    """Indices of the documents without near copies of earlier ones, by their 32 smallest word hashes."""
+def _distinct(lows: list[np.ndarray]) -> list[int]:
+    """Indices of the documents without near copies of earlier ones, by their smallest word hashes."""
     holders: dict[int, list[int]] = {}
     kept = []
-    for i, fs in enumerate(documents):
-        low = sorted({crc32(f.encode()) for f in fs if f[0] == "="})[:32]
-        shared = Counter(j for h in low for j in holders.get(h, ()))
-        if low and any(n >= 0.4 * len(low) for n in shared.values()):
+    for i, low in enumerate(lows):
+        shared = Counter(j for h in low.tolist() for j in holders.get(h, ()))
+        if len(low) and any(n >= 0.4 * len(low) for n in shared.values()):
             continue
         kept.append(i)
-        for h in low:
+        for h in low.tolist():
             holders.setdefault(h, []).append(i)
     return kept
 
@@ -169,65 +168,108 @@ def _kind(feature: str) -> int:
     return 0 if feature[0] == "=" else len(feature)
 
 
-def _marks(documents: list[set[str]], toxic: np.ndarray) -> set[str]:
-    """Features that mark toxic documents, beyond chance; near copies count as one document."""
-    counts = {True: Counter(), False: Counter()}
-    n = {True: 0, False: 0}
-    for label in (True, False):
-        of = [fs for fs, t in zip(documents, toxic, strict=True) if bool(t) is label]
-        of = [of[i] for i in _distinct(of)]
-        n[label] = len(of)
-        for fs in of:
-            counts[label].update(fs)
-    if not n[True] or not n[False]:
-        return set()
-    base = n[True] / (n[True] + n[False])
-    kinds = Counter(map(_kind, counts[True]))
-    out = set()
-    for f, c in counts[True].items():
-        k = counts[False][f]
-        if (c + 0.1) * n[False] >= LEAST_ODDS * (k + 0.1) * n[True] and _surprise(c, k, base) >= np.log(SURE * kinds[_kind(f)]):
-            out.add(f)
-    return out
+def _marking(kinds: np.ndarray, with_toxic: np.ndarray, with_clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """Which features mark toxic documents beyond chance, by the documents of either label that hold them.
+
+    Chance: the Chernoff bound that so many of a feature's documents are toxic, against the features of its kind.
+    """
+    if not n_toxic or not n_clean:
+        return np.zeros(len(kinds), bool)
+    base, both = n_toxic / (n_toxic + n_clean), np.maximum(with_toxic + with_clean, 1)
+    q = np.clip(with_toxic / both, 1e-12, 1)
+    surprise = both * (q * np.log(q / base) + np.where(q < 1, (1 - q) * np.log(np.maximum(1 - q, 1e-12) / (1 - base)), 0))
+    of_kind = np.bincount(kinds[with_toxic > 0], minlength=max(PREFIXES) + 1)
+    odds = (with_toxic + 0.1) * n_clean >= LEAST_ODDS * (with_clean + 0.1) * n_toxic
+    return (with_toxic > 0) & odds & (surprise >= np.log(SURE * np.maximum(of_kind[kinds], 1)))
+
+
+class _Sample:
+    """The tokens of sample texts and their features, as numbers: token k of document i, features of each distinct token."""
+
+    def __init__(self, texts: list[str]) -> None:
+        self.lengths, self.which, distinct = _tokens(pa.array(texts, pa.string()))
+        self.begin = np.concatenate([[0], np.cumsum(self.lengths)])
+        names: dict[str, int] = {}
+        of = [sorted({names.setdefault(f, len(names)) for w in WORD.findall(t) for f in features(w)}) for t in distinct]
+        self.tokens, self.names = distinct, list(names)
+        self.rows = np.repeat(np.arange(len(of)), [len(x) for x in of]).astype(np.int64)
+        self.cols = np.array([k for x in of for k in x], np.int64)
+        self.first = np.concatenate([[0], np.cumsum([len(x) for x in of])]).astype(np.int64)
+        self.kinds = np.array([_kind(f) for f in self.names], np.int64)
+        self.hashes = np.array([crc32(f.encode()) for f in self.names], np.int64)
+
+    def features_of(self, i: int) -> np.ndarray:
+        """Distinct features of document i."""
+        own = np.unique(self.which[self.begin[i] : self.begin[i + 1]])
+        return np.unique(np.concatenate([self.cols[self.first[k] : self.first[k + 1]] for k in own])) if len(own) else own
+
+    def counts(self, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int]:
+        """Of each feature: documents, toxic and clean ones without near copies; and these documents' numbers."""
+        everywhere, by = np.zeros(len(self.names)), np.zeros((2, len(self.names)))
+        held: tuple[list, list] = ([], [])
+        for i in range(len(self.lengths)):
+            fs = self.features_of(i)
+            everywhere[fs] += 1
+            held[int(toxic[i])].append((fs, np.sort(self.hashes[fs[self.kinds[fs] == 0]])[:32] if len(fs) else fs))
+        n = [0, 0]
+        for label in (0, 1):
+            kept = _distinct([low for _, low in held[label]])
+            n[label] = len(kept)
+            for k in kept:
+                by[label][held[label][k][0]] += 1
+        return everywhere, by[1], by[0], n[1], n[0]
+
+
+def pair_counts(model: Model, emissions: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of every token, and the expected number of each transition [from, to], by forward-backward."""
+    forward, backward = model.forward_backward(emissions, lengths)
+    p = _sigmoid(forward + backward - emissions)
+    document = np.repeat(np.arange(len(lengths)), lengths)
+    inside = np.flatnonzero(document[1:] == document[:-1])
+    a, b, t = forward[inside], backward[inside + 1], model.transitions
+    x = np.stack([np.full(len(inside), t[0, 0]), t[0, 1] + b, a + t[1, 0], a + t[1, 1] + b])
+    x = np.exp(x - x.max(axis=0))
+    return p, (x / x.sum(axis=0)).sum(axis=1).reshape(2, 2)
 
 
 def _train(texts: list[str], toxic: np.ndarray) -> Model:
-    """Fit the field to the sample: label tokens, then climb the likelihood of the labelled chains."""
-    lengths, which, distinct = _tokens(pa.array(texts, pa.string()))
-    begin = np.concatenate([[0], np.cumsum(lengths)])
-    words = [WORD.findall(t) for t in distinct]
-    of = [sorted({f for w in ws for f in features(w)}) for ws in words]
-    marks = _marks([{f for k in np.unique(which[begin[i] : begin[i + 1]]) for f in of[k]} for i in range(len(texts))], toxic)
-    names = {f: i for i, f in enumerate(sorted(marks))}
-    marked = np.array([any(f in names for f in fs) for fs in of], bool) if of else np.zeros(0, bool)
+    """Fit the field to the sample: label tokens, then climb the likelihood of the labelled chains.
+
+    Emissions have a weight for each feature of SUPPORT documents or more, whether it marks toxic text
+    or not; these, the bias and the transitions follow observed minus expected counts.
+    """
+    sample = _Sample(texts)
+    lengths, which, n_tokens = sample.lengths, sample.which, len(sample.tokens)
+    everywhere, *by_label = sample.counts(toxic)
+    marks = _marking(sample.kinds, *by_label)
+    marked = np.bincount(sample.rows, weights=marks[sample.cols], minlength=n_tokens) > 0
     document = np.repeat(np.arange(len(lengths)), lengths)
     y = (marked[which] & toxic[document]).astype(np.int64)
-    # The emission of most tokens is the bias alone, so only tokens with a named feature enter the sums by feature.
-    tokens = np.flatnonzero(marked)
-    pairs = [(k, names[f]) for k in tokens for f in of[k] if f in names]
-    rows, cols = (np.array([p[i] for p in pairs], np.int64) for i in (0, 1))
-    w, bias, t = np.zeros(len(names)), -4.0, np.zeros((2, 2))
-    inside = np.append(document[1:] == document[:-1], False)
-    a, b = y[:-1][inside[:-1]], y[1:][inside[:-1]]
-    seen_t = np.bincount(a * 2 + b, minlength=4).reshape(2, 2) / max(1, len(a))
-    # The transitions follow the labels, smoothed towards none; the weights climb by momentum.
-    t = np.log((seen_t + 1e-3) / (seen_t.sum(1, keepdims=True) + 2e-3)) - np.log((seen_t.sum(0, keepdims=True) + 1e-3) / (1 + 2e-3))
-    t = np.clip(t, -2.0, 2.0)
-    velocity, bias_velocity = np.zeros(len(names)), 0.0
-    count = np.bincount(which, minlength=len(distinct)).astype(float)
-    for _ in range(40):
-        model = Model({}, bias, t)
-        token = np.full(len(distinct), bias)
-        np.add.at(token, rows, w[cols])
-        p = model.marginals(token[which], lengths)
-        residual = np.bincount(which, weights=y - p, minlength=len(distinct))
-        feature_count = np.bincount(cols, weights=count[rows], minlength=len(names))
-        gradient = np.bincount(cols, weights=residual[rows], minlength=len(names)) - 0.02 * w
-        velocity = 0.8 * velocity + gradient / (1 + 0.25 * feature_count) * 0.5
+    used = np.flatnonzero((everywhere >= SUPPORT) | marks)
+    number = np.full(len(sample.names), -1)
+    number[used] = np.arange(len(used))
+    keep = number[sample.cols] >= 0
+    rows, cols = sample.rows[keep], number[sample.cols[keep]]
+    inside = np.append(document[1:] == document[:-1], False)[: len(y)]
+    seen = np.bincount(y[:-1][inside[:-1]] * 2 + y[1:][inside[:-1]], minlength=4).reshape(2, 2).astype(float)
+    count = np.bincount(which, minlength=n_tokens).astype(float)
+    of_feature = np.bincount(cols, weights=count[rows], minlength=len(used))
+    ridge = np.where(marks[used], MARK_RIDGE, RIDGE)
+    w, bias, t = np.zeros(len(used)), -4.0, np.zeros((2, 2))
+    velocity, bias_velocity, t_velocity = np.zeros(len(used)), 0.0, np.zeros((2, 2))
+    for _ in range(STEPS):
+        token = bias + np.bincount(rows, weights=w[cols], minlength=n_tokens)
+        p, expected = pair_counts(Model({}, bias, t), token[which], lengths)
+        residual = np.bincount(which, weights=y - p, minlength=n_tokens)
+        gradient = np.bincount(cols, weights=residual[rows], minlength=len(used)) - ridge * w
+        velocity = 0.8 * velocity + gradient / (1 + 0.25 * of_feature + ridge) * 0.5
         bias_velocity = 0.8 * bias_velocity + float((y - p).sum()) / max(1.0, float((p * (1 - p)).sum())) * 0.1
+        t_velocity = 0.8 * t_velocity + (seen - expected - t) / (10.0 + np.minimum(seen, expected) + 0.05 * np.abs(seen - expected)) * 0.1
         w, bias = np.clip(w + velocity, -12, 12), float(np.clip(bias + bias_velocity, -12, 0))
-    model = Model({f: float(w[i]) for f, i in names.items()}, bias, t)
-    model.curve = _calibrate(evidence(model.marginals(model.emissions(distinct)[which], lengths), lengths), toxic.astype(float))
+        t = np.clip(t + t_velocity, -2.0, 2.0)
+    weights = {sample.names[k]: float(w[i]) for i, k in enumerate(used.tolist()) if abs(w[i]) >= 1e-3}
+    model = Model(weights, bias, t)
+    model.curve = _calibrate(evidence(model.marginals(model.emissions(sample.tokens)[which], lengths), lengths), toxic.astype(float))
     return model
 
 
@@ -245,17 +287,20 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     return tuple(w.tolist())
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", toxic_sample: int = TOXIC_SAMPLE, clean_sample: int = CLEAN_SAMPLE) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", toxic_sample: int = TOXIC_SAMPLE, clean_sample: int = CLEAN_SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """Learn from labelled rows of ``docs`` (the caller leaves out held-out ones).
 
-    At most ``toxic_sample`` and ``clean_sample`` rows are used, the first by a hash of the id, and
-    fitted in one task; several labels of one id count as the largest. Without labels of both kinds
-    the model marks nothing.
+    At most ``toxic_sample`` and ``clean_sample`` rows are used, the first by a hash of the id, of these
+    so many that all texts together have at most ``sample_bytes``; a text over half of that isn't used
+    to learn from. They are fitted in one task. Several labels of one id count as the largest. Without
+    labels of both kinds the model marks nothing.
     """
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("label"))
     toxic = bounded_sample(known.filter("label = 1"), id_col, toxic_sample)
     ids = toxic.union(bounded_sample(known.filter("label = 0"), id_col, clean_sample))
-    chosen = docs.select(F.col(id_col), F.col(text_col).alias("text")).join(F.broadcast(ids), id_col).filter("text is not null")
+    chosen = docs.select(F.col(id_col), F.col(text_col).alias("text")).join(F.broadcast(ids), id_col).filter(F.octet_length("text") <= sample_bytes // 2)
+    upto = F.sum(F.octet_length("text")).over(Window.partitionBy("label").orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col, "text").rowsBetween(Window.unboundedPreceding, 0))
+    chosen = chosen.withColumn("_upto", upto).filter(F.col("_upto") <= sample_bytes // 2)
 
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["id", "text"]).drop_duplicates("text")
