@@ -23,10 +23,9 @@ FRAME, HOP, SPAN, STEP_FRAMES = 1024, 256, 16, 2048
 PITCH_A, LOWEST, HIGHEST = 440.0, 60.0, 3520.0
 #: Filters; and the values between which a filter's two bits change, on either side of 0.
 FILTERS, STEP = 16, 0.25
-#: Equal integers at an offset that make a candidate, share of differing bits up to which it is a match, and shared frames
-#: at least; half of the shorter recording must be shared too. Of a recording of fewer frames all must be shared, and the
+#: Share of differing bits up to which a candidate is a match, and shared frames at least; half of the shorter recording must be shared too. Of a recording of fewer frames all must be shared, and the
 #: share of bits that may differ is smaller in proportion, as chance finds a place for a few frames in any long recording.
-VOTES, BIT_ERRORS, OVERLAP = 2, 0.18, 24
+BIT_ERRORS, OVERLAP = 0.18, 24
 #: Query integers that are broadcast at most: 24 MB of rows. Beyond, an integer of more than HOT recordings is salted.
 BROADCAST_ROWS, HOT = 1_000_000, 100_000
 
@@ -128,9 +127,15 @@ def classes(prints: DataFrame, is_query: Column | None = None) -> DataFrame:
 
 
 def _postings(found: DataFrame) -> DataFrame:
-    """(node, at, value): where each run of equal integers begins. A steady sound is one row, however long it lasts."""
-    runs = "filter(transform(prints, (x, i) -> struct(i as at, x as value)), (r, i) -> i = 0 or r.value <> prints[i - 1])"
-    return found.select("node", F.explode(F.expr(runs)).alias("r")).select("node", "r.at", "r.value")
+    """(node, at, value): a key for each run of equal integers, of the run's integer, the next one's, and the frames between.
+
+    A steady sound is one row, however long it lasts; a recording of one run has its integer alone as
+    the key. Two neighbouring runs make a key rare: on random vectors ten times fewer rows meet than
+    by single integers, and a recording still meets what differs in up to BIT_ERRORS of its bits.
+    """
+    runs = F.expr("filter(transform(prints, (x, i) -> struct(i as at, x as value)), (r, i) -> i = 0 or r.value <> prints[i - 1])")
+    keys = F.expr("if(size(runs) = 1, array(struct(0 as at, xxhash64(runs[0].value) as value)), transform(slice(runs, 1, size(runs) - 1), (r, i) -> struct(r.at as at, xxhash64(r.value, runs[i + 1].value, runs[i + 1].at - r.at) as value)))")
+    return found.withColumn("runs", runs).select("node", F.explode(keys).alias("r")).select("node", "r.at", "r.value")
 
 
 def _met(asked: DataFrame, held: DataFrame) -> DataFrame:
@@ -152,21 +157,15 @@ def _met(asked: DataFrame, held: DataFrame) -> DataFrame:
 def aligned(found: DataFrame) -> DataFrame:
     """(q, node, offset, bit_errors, frames) of the classes that align with a class of queries, at their best offset.
 
-    Equal integers meet by a join on the integer and are counted by offset; offsets of VOTES or more
-    (any, if a recording has fewer runs or is shorter than OVERLAP) are compared bit by bit.
+    Equal keys meet by a join and are counted by offset; every offset with one is compared bit by bit.
     """
     asked = cut(_postings(found.filter("asked > 0")).withColumnRenamed("node", "q"))
-    votes = _met(asked, _postings(found)).groupBy("q", "node", "offset").count()
+    votes = _met(asked, _postings(found)).distinct()
     a, b = found.select(F.col("node").alias("q"), F.col("prints").alias("a")), found.select("node", F.col("prints").alias("b"))
-    few = lambda c: F.expr(f"size({c}) < {OVERLAP} or size(filter({c}, (x, i) -> i = 0 or x <> {c}[i - 1])) < {VOTES}")
-    both = votes.filter(F.col("count") >= VOTES).join(a, "q").join(b, "node")
-    rest = votes.filter(F.col("count") < VOTES)
-    single = rest.join(a.filter(few("a")), "q").join(b, "node")
-    single = single.union(rest.join(b.filter(few("b")), "node").join(a, "q").select(single.columns))
     lo, hi = F.greatest(F.lit(0), -F.col("offset")), F.least(F.expr("size(a)"), F.expr("size(b)") - F.col("offset"))
     shorter = F.least(F.expr("size(a)"), F.expr("size(b)"))
     near = (
-        both.union(single.select(both.columns)).withColumn("lo", lo).withColumn("frames", hi - F.col("lo"))
+        votes.join(a, "q").join(b, "node").withColumn("lo", lo).withColumn("frames", hi - F.col("lo"))
         .filter((F.col("frames") >= F.least(F.lit(OVERLAP), shorter)) & (F.col("frames") * 2 >= shorter))
         .withColumn("pairs", F.expr("zip_with(slice(a, lo + 1, frames), slice(b, lo + offset + 1, frames), (x, y) -> bit_count(cast(x ^ y as bigint) & 4294967295))"))
         .withColumn("bit_errors", F.expr("aggregate(pairs, 0, (s, x) -> s + x)") / (32 * F.col("frames")))
@@ -198,6 +197,18 @@ def search(prints: DataFrame, is_query: Column) -> DataFrame:
     return other.union(same).union(empty)
 
 
+def summary(found: DataFrame) -> DataFrame:
+    """The result of search() by query: (id, n_matches, n_classes, classes_hash, best_class, best_offset, best_bit_errors, best_frames).
+
+    n_matches counts recordings; classes_hash is the exclusive or of the XXH64 of the classes' ids; best:
+    fewest bit errors, then the smallest id. Partial sums only: no query's matches meet in one place.
+    """
+    match = F.col("n_recordings") > 0
+    best = F.min(F.when(match, F.struct("bit_errors", "match_class", "offset", "frames"))).alias("best")
+    by = found.groupBy("id").agg(F.sum("n_recordings").alias("n_matches"), F.count_if(match).alias("n_classes"), F.bit_xor(F.when(match, F.xxhash64("match_class"))).alias("classes_hash"), best)
+    return by.select("id", "n_matches", "n_classes", F.coalesce("classes_hash", F.lit(0)).alias("classes_hash"), F.col("best.match_class").alias("best_class"), F.col("best.offset").alias("best_offset"), F.col("best.bit_errors").alias("best_bit_errors"), F.col("best.frames").alias("best_frames"))
+
+
 def membership(prints: DataFrame) -> DataFrame:
     """(id, class_id) of every row of ``prints``: the smallest id of its fingerprint; null without prints."""
     found = classes(prints).select("prints", "class_id")

@@ -33,16 +33,24 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "language.lang_pred", "language.score", "language.rejected")
 
 
+def _recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of the vectors of ``embeddings``, which are sounded as notes to stand in for recordings."""
+    return audio.fingerprints(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", decode=audio.notes)
+
+
 def op3_chroma_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The vectors of ``embeddings``, sounded as notes, stand in for recordings: every 20th searched among all."""
-    prints = audio.fingerprints(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", decode=audio.notes)
-    return audio.search(prints, F.col("id") % 20 == 0).withColumnRenamed("id", "vec_id")
+    """Every 20th recording searched among all: how many align with it, in how many classes, and the best."""
+    return audio.summary(audio.search(_recordings(spark, sf_dir), F.col("id") % 20 == 0)).withColumnRenamed("id", "vec_id")
+
+
+def op3_chroma_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search with a row for each query and class that aligns with it."""
+    return audio.search(_recordings(spark, sf_dir), F.col("id") % 20 == 0).withColumnRenamed("id", "vec_id")
 
 
 def op3_chroma_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of equal fingerprints of every row, by which the search names what it finds."""
-    prints = audio.fingerprints(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", decode=audio.notes)
-    return audio.membership(prints).withColumnRenamed("id", "vec_id")
+    return audio.membership(_recordings(spark, sf_dir)).withColumnRenamed("id", "vec_id")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_page_boilerplate,
         op2_language_id,
         op3_chroma_search,
+        op3_chroma_matches,
         op3_chroma_classes,
         op4_decontamination,
         op5_sharding,

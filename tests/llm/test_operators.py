@@ -185,6 +185,8 @@ def test_search_of_odd_tables(spark):
     prints = audio.fingerprints(d, "id", "media").cache()
     got = {(r.id, r.match_class): r.n_recordings for r in audio.search(prints, F.col("id") % 20 == 0).collect()}
     assert got == {(0, 0): 1, (0, 2): 1, (20, 20): 2, (20, 3): 1, (40, None): 0, (60, None): 0}
+    short = {r.id: (r.n_matches, r.n_classes, r.best_class) for r in audio.summary(audio.search(prints, F.col("id") % 20 == 0)).collect()}
+    assert short == {0: (2, 2, 0), 20: (3, 2, 20), 40: (0, 0, None), 60: (0, 0, None)}
     none = audio.fingerprints(d.limit(0), "id", "media")
     assert audio.search(none, F.col("id") % 20 == 0).count() == 0 and audio.membership(none).count() == 0
     assert audio.membership(prints).count() == len(rows)
