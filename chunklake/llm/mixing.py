@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chunklake.llm.common import cut
+from chunklake.llm.common import among, cut
 
 LEVELS = ("domain", "lang", "source")
 #: Rows of a leaf's sample order that a bucket holds, about; a bucket is ordered in one task.
@@ -21,10 +21,11 @@ def tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^ \t\n\r\f\x0B]+")), F.lit(0)).cast("long")
 
 
-def domain_of(source: Column) -> Column:
-    """The domain of a source of the test tables: its number modulo 4."""
-    number = F.regexp_extract(F.coalesce(source, F.lit("")), "([0-9]{1,9})$", 1)
-    return F.when(number != "", F.concat(F.lit("domain"), (number.try_cast("int") % 4).cast("string"))).otherwise("other")
+def domain_of(source: Column, domains: dict[str, str], otherwise: str = "other") -> Column:
+    """The domain of a source by a mapping."""
+    if not domains:
+        return F.lit(otherwise)
+    return F.coalesce(F.create_map(*(F.lit(x) for item in domains.items() for x in item))[source], F.lit(otherwise))
 
 
 def _share(nodes: DataFrame, parent: list[str]) -> DataFrame:
@@ -32,7 +33,8 @@ def _share(nodes: DataFrame, parent: list[str]) -> DataFrame:
 
     No child gets more than its cap; what it can't take goes to its siblings by weight. As a node's
     cap is the sum of what lies below it, a shortage stays among siblings while they have room, and
-    only then reaches the siblings of the parent.
+    only then reaches the siblings of the parent. Tokens that whole numbers leave over go one each to
+    the first children by name that have room.
     """
     ratio = F.when(F.col("weight") > 0, F.col("cap") / F.col("weight")).otherwise(F.lit(float("inf")))
     order = Window.partitionBy(*parent).orderBy("ratio", "name")
@@ -45,14 +47,20 @@ def _share(nodes: DataFrame, parent: list[str]) -> DataFrame:
     rest = F.col("budget").cast("double") - F.coalesce(F.sum(F.when(F.col("full") == 1, F.col("cap"))).over(whole), F.lit(0)).cast("double")
     weights = F.sum(F.when(F.col("full") == 0, F.col("weight"))).over(whole).cast("double")
     got = F.when(F.col("full") == 1, F.col("cap")).when(weights > 0, F.least(F.col("cap"), F.floor(F.col("weight").cast("double") * rest / weights))).otherwise(0)
-    return nodes.withColumn("got", got.cast("long")).drop("ratio", "left", "weight_from", "full")
+    nodes = nodes.withColumn("got", got.cast("long"))
+    open_ = ((F.col("full") == 0) & (F.col("weight") > 0) & (F.col("got") < F.col("cap"))).cast("int")
+    over = F.col("budget") - F.sum("got").over(whole)
+    rank = F.sum(open_).over(Window.partitionBy(*parent).orderBy("name").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    more = ((open_ == 1) & (rank <= over)).cast("long")
+    return nodes.withColumn("got", F.col("got") + more).drop("ratio", "left", "weight_from", "full")
 
 
 def budgets(leaves: DataFrame, share: float, max_epochs: int, weights: dict[str, int] | None = None) -> DataFrame:
     """Budget of each leaf: ``leaves`` (domain, lang, source, tokens) with ``budget``.
 
-    The root has ``share`` of all tokens. A node's weight is that of ``weights`` under its path
-    ("domain0", "domain0/en", …), else the whole part of the root of its tokens, which tempers large
+    The root has ``share`` of all tokens. ``weights`` holds the target weights of nodes by their path
+    ("web", "web/en", …), or by their name under any parent ("*/en"); those of siblings count against
+    each other. A node without one has the whole part of the root of its tokens, which tempers large
     nodes. Only the tree passes through here, in windows over the children of a node.
     """
     leaves = leaves.filter("tokens > 0")
@@ -66,7 +74,8 @@ def budgets(leaves: DataFrame, share: float, max_epochs: int, weights: dict[str,
         weight = F.floor(F.sqrt(F.col("tokens").cast("double"))).cast("long")
         if weights:
             table = F.create_map(*(F.lit(x) for item in weights.items() for x in item))
-            weight = F.coalesce(table[F.concat_ws("/", *path)].cast("long"), weight)
+            anywhere = [table[F.concat_ws("/", F.lit("*"), path[-1])]] if k > 1 else []
+            weight = F.coalesce(*(x.cast("long") for x in (table[F.concat_ws("/", *path)], *anywhere)), weight)
         nodes = nodes.withColumn("weight", weight).withColumn("name", F.col(path[-1])).join(dealt, parent)
         dealt = cut(_share(nodes, parent).select(*path, "tokens", F.col("got").alias("budget")))
         parent = path
@@ -75,17 +84,17 @@ def budgets(leaves: DataFrame, share: float, max_epochs: int, weights: dict[str,
     return dealt
 
 
-def mix(docs: DataFrame, share: float = 1.0, max_epochs: int = 4, seed: int = 17, weights: dict[str, int] | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", domain: Column | None = None) -> DataFrame:
+def mix(docs: DataFrame, share: float = 1.0, max_epochs: int = 4, seed: int = 17, weights: dict[str, int] | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", domains: dict[str, str] | None = None) -> DataFrame:
     """(id, domain, lang, source, tokens, budget, copies): how often each document of ``docs`` enters the mixture.
 
     A leaf with a budget of f times its tokens and some more takes all its documents f times, then
     the longest prefix of the next epoch that fits; each epoch has its own order, by a hash of seed,
-    epoch and id. Rows of one leaf that share an id are one document; null languages and sources
+    epoch and id. ``domains`` maps sources to domains; others are of domain "other". Rows of one leaf that share an id are one document; null languages and sources
     count as ''. Leaves without tokens get no budget and copies 0. An empty table gives no rows.
     """
     leaf = list(LEVELS)
     source = F.coalesce(F.col(source_col), F.lit(""))
-    narrow = docs.select(F.col(id_col).alias("id"), (domain_of(source) if domain is None else domain).alias("domain"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), source.alias("source"), tokens(F.col(text_col)).alias("tokens"))
+    narrow = docs.select(F.col(id_col).alias("id"), domain_of(source, domains or {}).alias("domain"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), source.alias("source"), tokens(F.col(text_col)).alias("tokens"))
     units = cut(narrow.groupBy("id", *leaf).agg(F.sum("tokens").alias("tokens")))
     totals = cut(units.groupBy(*leaf).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")))
     plan = budgets(totals.drop("n"), share, max_epochs, weights)
@@ -109,3 +118,13 @@ def mix(docs: DataFrame, share: float = 1.0, max_epochs: int = 4, seed: int = 17
         rest.select(*out, (epoch + F.coalesce((F.col("before") + F.col("in_bucket") <= F.col("rest")).cast("int"), F.lit(0))).alias("copies"))
     )
     return chosen.select(F.col("id").alias(id_col), *leaf, "tokens", F.coalesce("budget", F.lit(0)).alias("budget"), F.col("copies").cast("int").alias("copies"))
+
+
+def taken(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """Rows of ``docs`` that enter the mixture of mix() at least once, with the same columns.
+
+    The ids left out are broadcast up to a counted bound, so that texts stay where they are.
+    """
+    gone = cut(mix(docs, id_col=id_col, **options).groupBy(F.col(id_col).alias("id")).agg(F.max("copies").alias("most")).filter("most = 0").select(F.col("id").cast("long").alias("id")))
+    kept = among(docs, id_col, gone.dropna(), "left_anti")
+    return kept if gone.filter("id is null").isEmpty() else kept.filter(F.col(id_col).isNotNull())

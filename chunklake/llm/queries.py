@@ -11,6 +11,12 @@ from chunklake.llm import audio, decontam, langid, line_dedup, main_text, mixing
 from chunklake.llm.common import crc_mod
 
 
+#: The domains of the test tables' sources, and the target weights of domains and of languages in each; sources of one
+#: language share by the root of their tokens.
+DOMAINS = {f"src{i}": ("web", "web", "books", "news", "code")[i // 4] for i in range(20)}
+TARGETS = {"web": 5, "books": 2, "news": 2, "code": 1, "other": 1, "*/en": 6, "*/fr": 2, "*/de": 2, "*/es": 2, "*/": 1}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -87,7 +93,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), weights=TARGETS, domains=DOMAINS)
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

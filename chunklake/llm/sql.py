@@ -34,11 +34,14 @@ WITH l AS (
 """ + _LINES.replace("RATIO", "0.05").replace("ID", "page_id")
 
 
-def _level(nodes: str, parent: str, path: str, name: str, source: str) -> str:
+_TEMPERED = "floor(sqrt(sum(tokens)::DOUBLE))::BIGINT"
+
+
+def _level(nodes: str, parent: str, path: str, name: str, source: str, weight: str = _TEMPERED) -> str:
     """CTEs that deal the budget of each ``parent`` in ``source`` out to its children."""
     return f"""
 {nodes}_n AS (
-  SELECT {path}, sum(tokens) AS tokens, sum(tokens) * 4 AS cap, floor(sqrt(sum(tokens)::DOUBLE))::BIGINT AS weight
+  SELECT {path}, sum(tokens) AS tokens, sum(tokens) * 4 AS cap, {weight} AS weight
   FROM leaves GROUP BY {path}
 ), {nodes}_o AS (
   SELECT n.*, s.budget, {name} AS name, cap::DOUBLE / weight::DOUBLE AS ratio FROM {nodes}_n n JOIN {source} s USING ({parent})
@@ -54,17 +57,26 @@ def _level(nodes: str, parent: str, path: str, name: str, source: str) -> str:
   SELECT *, budget::DOUBLE - coalesce(sum(CASE WHEN sated = 1 THEN cap END) OVER (PARTITION BY {parent}), 0)::DOUBLE AS rest,
          (sum(CASE WHEN sated = 0 THEN weight END) OVER (PARTITION BY {parent}))::DOUBLE AS weights
   FROM {nodes}_f
-), {nodes} AS (
-  SELECT {path}, tokens, (CASE WHEN sated = 1 THEN cap WHEN weights > 0 THEN least(cap, floor(weight::DOUBLE * rest / weights)) ELSE 0 END)::BIGINT AS budget
+), {nodes}_g AS (
+  SELECT *, (CASE WHEN sated = 1 THEN cap WHEN weights > 0 THEN least(cap, floor(weight::DOUBLE * rest / weights)) ELSE 0 END)::BIGINT AS got
   FROM {nodes}_r
+), {nodes}_l AS (
+  SELECT *, budget - sum(got) OVER (PARTITION BY {parent}) AS over,
+         sum(CASE WHEN sated = 0 AND weight > 0 AND got < cap THEN 1 ELSE 0 END) OVER (PARTITION BY {parent} ORDER BY name ROWS UNBOUNDED PRECEDING) AS rank
+  FROM {nodes}_g
+), {nodes} AS (
+  SELECT {path}, tokens, (got + CASE WHEN sated = 0 AND weight > 0 AND got < cap AND rank <= over THEN 1 ELSE 0 END)::BIGINT AS budget
+  FROM {nodes}_l
 )"""
 
 
-_MIXING = f"""
+_MIXING = """
 WITH d AS (
   SELECT doc_id,
-         CASE WHEN regexp_extract(coalesce(source, ''), '([0-9]{{{{1,9}}}})$', 1) <> ''
-              THEN 'domain' || (regexp_extract(source, '([0-9]{{{{1,9}}}})$', 1)::INT % 4)::VARCHAR ELSE 'other' END AS domain,
+         CASE WHEN source IN ('src0', 'src1', 'src2', 'src3', 'src4', 'src5', 'src6', 'src7') THEN 'web'
+              WHEN source IN ('src8', 'src9', 'src10', 'src11') THEN 'books'
+              WHEN source IN ('src12', 'src13', 'src14', 'src15') THEN 'news'
+              WHEN source IN ('src16', 'src17', 'src18', 'src19') THEN 'code' ELSE 'other' END AS domain,
          coalesce(lang, '') AS lang, coalesce(source, '') AS source,
          coalesce(len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\x0B]+')), 0)::BIGINT AS tokens
   FROM documents
@@ -74,7 +86,7 @@ WITH d AS (
   SELECT 0 AS root, domain, lang, source, sum(tokens)::BIGINT AS tokens FROM units GROUP BY ALL HAVING sum(tokens) > 0
 ), top AS (
   SELECT 0 AS root, sum(tokens)::BIGINT AS budget FROM leaves
-), {{domains}}, {{langs}}, {{sources}}, placed AS (
+), {domains}, {langs}, {sources}, placed AS (
   SELECT u.doc_id, u.domain, u.lang, u.source, u.tokens, p.budget, p.budget // p.tokens AS epoch, p.budget % p.tokens AS rest,
          md5('17:' || (p.budget // p.tokens)::VARCHAR || ':' || coalesce(u.doc_id::VARCHAR, '')) AS key
   FROM units u LEFT JOIN sources p USING (domain, lang, source)
@@ -83,8 +95,8 @@ SELECT doc_id, domain, lang, source, tokens, coalesce(budget, 0)::BIGINT AS budg
        (coalesce(epoch, 0) + CASE WHEN sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING) <= rest THEN 1 ELSE 0 END)::INT AS copies
 FROM placed
 """.format(
-    domains=_level("domains", "root", "root, domain", "domain", "top"),
-    langs=_level("langs", "domain", "domain, lang", "lang", "domains"),
+    domains=_level("domains", "root", "root, domain", "domain", "top", f"CASE domain WHEN 'web' THEN 5 WHEN 'books' THEN 2 WHEN 'news' THEN 2 WHEN 'code' THEN 1 WHEN 'other' THEN 1 ELSE {_TEMPERED} END"),
+    langs=_level("langs", "domain", "domain, lang", "lang", "domains", f"CASE lang WHEN 'en' THEN 6 WHEN 'fr' THEN 2 WHEN 'de' THEN 2 WHEN 'es' THEN 2 WHEN '' THEN 1 ELSE {_TEMPERED} END"),
     sources=_level("sources", "domain, lang", "domain, lang, source", "source", "langs"),
 )
 

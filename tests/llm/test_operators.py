@@ -550,9 +550,13 @@ def test_budgets_by_hand(spark):
     leaves = spark.createDataFrame([("a", "x", "1", 100), ("a", "x", "2", 10), ("b", "y", "3", 100), ("c", "z", "4", 0)], "domain string, lang string, source string, tokens long")
     w = {"a": 1, "b": 1, "a/x": 1, "b/y": 1, "a/x/1": 1, "a/x/2": 1, "b/y/3": 1}
     got = {r.source: r.budget for r in mixing.budgets(leaves, 0.5, 1, w).collect()}
-    assert got == {"1": 42, "2": 10, "3": 52}  # leaf 2 is short, its sibling takes the rest
+    assert got == {"1": 43, "2": 10, "3": 52}  # leaf 2 is short, its sibling takes the rest; domain a gets the odd token
     got = {r.source: r.budget for r in mixing.budgets(leaves, 0.9, 1, {**w, "b": 9}).collect()}
     assert got == {"1": 79, "2": 10, "3": 100}  # b is short as a whole, a takes the rest
+    anywhere = {r.source: r.budget for r in mixing.budgets(leaves, 0.2, 1, {"a": 1, "b": 3, "*/1": 9, "*/2": 1}).collect()}
+    assert anywhere == {"1": 10, "2": 1, "3": 31}
+    dealt = mixing.budgets(spark.createDataFrame([("d", "l", f"s{i:02}", 1000 + i) for i in range(37)], "domain string, lang string, source string, tokens long"), 0.5, 1)
+    assert sum(r.budget for r in dealt.collect()) == sum(1000 + i for i in range(37)) // 2  # no token is lost
 
 
 def test_mix(spark, docs, odd, none):

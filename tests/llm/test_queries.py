@@ -5,7 +5,7 @@ from itertools import combinations
 import pytest
 
 import corpus_pipeline
-from chunklake.llm import decontam, mixing, quality, shards
+from chunklake.llm import decontam, mixing, quality, queries, shards
 from chunklake.llm.queries import QUERIES
 from chunklake.llm.sql import ORACLE_SQL
 from tests.compare import connect, rows
@@ -79,7 +79,7 @@ def test_pipeline(spark, sf):
         elif k == 2:
             assert got == {r.doc_id for r in decontam.contamination(at, spark.read.parquet(f"{sf}/benchmark.parquet")).filter("size(contamination.hits) = 0").collect()}
         elif k == 3:
-            assert got == {r.doc_id for r in mixing.mix(at, 0.9, 1).filter("copies > 0").collect()}
+            assert got == {r.doc_id for r in mixing.mix(at, 0.9, 1, weights=queries.TARGETS, domains=queries.DOMAINS).filter("copies > 0").collect()}
         else:
             assert sorted(map(str, after.collect())) == sorted(map(str, shards.shard(at).collect()))
         if k < len(corpus_pipeline.STAGES) - 1:
