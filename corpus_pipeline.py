@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunklake.llm import decontam, mixing, quality, shards, simhash
+from chunklake.llm.queries import DOMAINS, TARGETS
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,9 +26,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mixture takes: nine tenths of the tokens, no document twice."""
-    taken = mixing.mix(docs, share=0.9, max_epochs=1).filter("copies > 0").select(F.col("doc_id").alias("_taken")).distinct()
-    return docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_taken")), "left_semi")
+    """Documents that the mixture takes: nine tenths of the tokens by target weights, no document twice."""
+    return mixing.taken(docs, share=0.9, max_epochs=1, weights=TARGETS, domains=DOMAINS)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
