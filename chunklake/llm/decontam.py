@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 from uuid import uuid4
 
 import ahocorasick
@@ -16,8 +17,9 @@ from chunklake.llm.common import as_bytes, slices
 
 #: Words in a window.
 WINDOW = 10
-#: Bytes of benchmark text in one automaton. A larger benchmark is dealt into several automata, scanned one after another.
-AUTOMATON_BYTES = 8 << 20
+#: Nodes of one automaton at most, of some 60 bytes each; a larger benchmark is dealt into several automata, scanned one
+#: after another. Windows of one item that stay together.
+AUTOMATON_NODES, PIECE = 4_000_000, 10_000
 
 #: Bytes 00-2F, 3A-40, 5B-60 and 7B-7F part words; A-Z become a-z; all others belong to words.
 _NORMAL = bytes(
@@ -31,54 +33,60 @@ def normal(text: bytes) -> bytes:
     return text.translate(_NORMAL)
 
 
-def windows(words: list[str], width: int) -> list[str]:
-    """Runs of ``width`` words, each padded with a space on both sides; fewer words make one run."""
-    return [f" {' '.join(words[i : i + width])} " for i in range(max(1, len(words) - width + 1))] if words else []
-
-
-_built: dict[tuple[str, int], ahocorasick.Automaton] = {}
-
-
-def _automaton(items: Broadcast, width: int) -> ahocorasick.Automaton:
-    """The automaton of a block of items, built once in each Python worker."""
+def windows(words: list[bytes], width: int) -> list[tuple[bytes, ...]]:
+    """Runs of ``width`` words; fewer words make one run."""
+    return [tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))] if words else []
+
+
+class Automaton:
+    """Aho-Corasick over windows of words; each distinct word of the benchmark is a number, others are 0."""
+
+    def __init__(self, items: list[tuple[str | None, str]], width: int) -> None:
+        self.numbers: dict[bytes, int] = {}
+        owners: dict[tuple[int, ...], tuple[str, ...]] = {}
+        shared: dict[tuple, tuple] = {}  # one object for the many windows of an item
+        for item_id, text in items:
+            own = () if item_id is None else (item_id,)
+            words = normal(text.encode()).split(b" ")
+            for w in windows([w for w in words if w], width):
+                key = tuple(self.numbers.setdefault(x, len(self.numbers) + 1) for x in w)
+                ids = tuple(sorted({*owners.get(key, ()), *own}))
+                owners[key] = shared.setdefault(ids, ids)
+        self.found = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for key, ids in owners.items():
+            self.found.add_word(key, shared.setdefault((len(key), ids), (len(key), ids)))
+        if owners:
+            self.found.make_automaton()
+
+    def scan(self, text: bytes) -> tuple[int, list[tuple[int, int]], set[str]]:
+        """Number of words, hit ranges of words [first, end) in order and disjoint, ids of items that occur."""
+        words = normal(text).split()
+        if not words or not self.numbers:
+            return len(words), [], set()
+        hit: list[tuple[int, int]] = []
+        ids: set[str] = set()
+        ranges = []
+        for last, (n, own) in self.found.iter(tuple(map(self.numbers.get, words, repeat(0)))):
+            ranges.append((last + 1 - n, last + 1))
+            ids.update(own)
+        for first, end in sorted(ranges):
+            if hit and first <= hit[-1][1]:
+                hit[-1] = (hit[-1][0], max(hit[-1][1], end))
+            else:
+                hit.append((first, end))
+        return len(words), hit, ids
+
+
+_built: dict[tuple[str, int], Automaton] = {}
+
+
+def _automaton(items: Broadcast, width: int) -> Automaton:
+    """The automaton of a block of items, built once in each Python worker that keeps to the block."""
     name, texts = items.value
-    key = (name, width)
-    if key not in _built:
+    if (name, width) not in _built:
         _built.clear()
-        of: dict[str, tuple[int, set[str]]] = {}
-        for item_id, text in texts:
-            words = normal(text.encode()).decode().split(" ")
-            words = [w for w in words if w]
-            for w in windows(words, width):
-                of.setdefault(w, (min(len(words), width), set()))[1].update(() if item_id is None else (item_id,))
-        a = ahocorasick.Automaton()
-        for w, (n, ids) in of.items():
-            a.add_word(w, (n, frozenset(ids)))
-        if len(a):
-            a.make_automaton()
-        _built[key] = a
-    return _built[key]
-
-
-def _scan(text: bytes, automaton: ahocorasick.Automaton) -> tuple[int, list[tuple[int, int]], set[str]]:
-    """Number of words, hit ranges of words [first, end) in order and disjoint, ids of items that occur."""
-    words = normal(text).split()
-    if not words or not len(automaton):
-        return len(words), [], set()
-    joined = b" ".join([b"", *words, b""]).decode("utf-8", "surrogateescape")
-    found = [(end, *value) for end, value in automaton.iter(joined)]
-    if not found:
-        return len(words), [], set()
-    spaces = np.flatnonzero(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4") == 32)
-    ends = np.searchsorted(spaces, [f[0] for f in found])  # the space after word k - 1 is number k
-    hit: list[tuple[int, int]] = []
-    for last, (_, n, _ids) in sorted(zip(ends.tolist(), found, strict=True), key=lambda x: x[0] - x[1][1]):
-        first = last - n
-        if hit and first <= hit[-1][1]:
-            hit[-1] = (hit[-1][0], max(hit[-1][1], last))
-        else:
-            hit.append((first, last))
-    return len(words), hit, set().union(*(f[2] for f in found))
+        _built[name, width] = Automaton(texts, width)
+    return _built[name, width]
 
 
 def _merged(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -91,14 +99,21 @@ def _merged(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[in
     return out
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int) -> list[Broadcast]:
-    """Broadcast the items in blocks; each block holds about ``most`` bytes, measured before it is collected."""
-    items = benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).filter("text is not null").distinct()
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, width: int, most: int) -> list[Broadcast]:
+    """Broadcast the items in blocks whose windows have about ``most`` nodes, counted before a block is collected.
+
+    A long item comes in pieces that overlap by all but one word of a window, so it may be in several blocks.
+    """
+    words = F.regexp_extract_all(F.col(text_col).cast("string"), F.lit(r"([0-9A-Za-z\x{80}-\x{10FFFF}]+)"), F.lit(1))
+    items = benchmark.select(F.col(id_col).cast("string").alias("id"), words.alias("w")).filter("size(w) > 0").distinct()
+    starts = F.sequence(F.lit(0), F.floor((F.greatest(F.size("w") - width, F.lit(0))) / PIECE).cast("int"))
+    pieces = items.select("id", F.explode(F.transform(starts, lambda i: F.slice("w", i * PIECE + 1, PIECE + width - 1))).alias("w"))
+    nodes = F.greatest(F.size("w") - (width - 1), F.lit(1)) * F.least(F.size("w"), F.lit(width))
+    total = pieces.agg(F.sum(nodes)).first()[0] or 0
     n = 1 + int(total) // most
-    block = F.pmod(F.xxhash64("text"), F.lit(n))
+    texts = pieces.select("id", F.array_join("w", " ").alias("text"), F.pmod(F.xxhash64("w"), F.lit(n)).alias("block"))
     sc = benchmark.sparkSession.sparkContext
-    return [sc.broadcast((uuid4().hex, [tuple(r) for r in items.filter(block == k).collect()])) for k in range(n)]
+    return [sc.broadcast((uuid4().hex, [(r.id, r.text) for r in texts.filter(F.col("block") == k).collect()])) for k in range(n)]
 
 
 _STATE = "n_words long, hits array<struct<first:int,last:int>>, items array<string>"
@@ -114,7 +129,7 @@ def _pass(items: Broadcast, width: int, text_at: int, state_at: int):
                 counts, hits, ids = [], [], []
                 before = zip(s.column(state_at + 1).to_pylist(), s.column(state_at + 2).to_pylist(), strict=True)
                 for t, (h0, i0) in zip(as_bytes(s.column(text_at)), before, strict=True):
-                    n, h, i = _scan(t, automaton)
+                    n, h, i = automaton.scan(t)
                     counts.append(n)
                     hits.append(_merged(h, [(x["first"], x["last"]) for x in h0]) if h0 else h)
                     ids.append(sorted(i.union(i0)))
@@ -124,12 +139,12 @@ def _pass(items: Broadcast, width: int, text_at: int, state_at: int):
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = WINDOW, block_bytes: int = AUTOMATON_BYTES) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = WINDOW, block_nodes: int = AUTOMATON_NODES) -> DataFrame:
     """``docs`` with a last column ``contamination`` struct(n_words, hits, items).
 
     hits: disjoint word ranges [first, last) inside occurrences of benchmark windows, adjoining ones
     joined; items: sorted ids of the items with an occurring window. Each text is scanned whole, once
-    per automaton (one, unless the benchmark exceeds ``block_bytes``). No shuffle of documents.
+    per automaton (one, unless the benchmark's windows exceed ``block_nodes``). No shuffle of documents.
     Null or empty texts have no words; null benchmark texts have no window; items with a null id hit
     but aren't listed; repeated items count once. An empty benchmark hits nothing. A column of
     ``docs`` that is itself called contamination is replaced.
@@ -139,7 +154,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     flat = docs.toDF(*names)
     at, end = docs.columns.index(text_col), len(names)
     state = flat.select("*", F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<first:int,last:int>>)").alias("hits"), F.expr("cast(array() as array<string>)").alias("items"))
-    for block in _blocks(benchmark, item_col, item_text, block_bytes):
+    for block in _blocks(benchmark, item_col, item_text, width, block_nodes):
         state = state.mapInArrow(_pass(block, width, at, end), state.schema)
     out = state.select(*names, F.struct("n_words", "hits", "items").alias("contamination"))
     return out.toDF(*docs.columns, "contamination")

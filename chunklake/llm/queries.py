@@ -71,6 +71,12 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def benchmark_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the benchmark's passages lie in the original texts: a row for each run of hit words."""
+    found = decontam.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return decontam.with_spans(found).select("doc_id", F.explode("spans").alias("span")).select("doc_id", F.col("span.start").alias("start"), F.col("span.end").alias("end"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -113,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_chroma_matches,
         op3_chroma_classes,
         op4_decontamination,
+        benchmark_spans,
         op5_sharding,
         op6_main_text,
         op7_simhash_near_dedup,

@@ -3,6 +3,7 @@
 import html as html_module
 import re
 import time
+import tracemalloc
 from collections import Counter, defaultdict
 from itertools import pairwise
 from zlib import crc32
@@ -229,7 +230,7 @@ def test_contamination_equals_brute_force(spark, sf, docs):
     items = spark.read.parquet(f"{sf}/benchmark.parquet")
     want = brute_contamination([tuple(r) for r in docs.select("doc_id", "text").collect()], [tuple(r) for r in items.collect()])
     assert contaminated(decontam.contamination(docs, items)) == want and any(v[1] for v in want.values())
-    assert contaminated(decontam.contamination(docs, items, block_bytes=2000)) == want
+    assert contaminated(decontam.contamination(docs, items, block_nodes=5000)) == want
 
 
 def test_contamination_odd(spark, odd, none):
@@ -247,6 +248,19 @@ def test_contamination_odd(spark, odd, none):
     assert {r.doc_id for r in decontam.drop_contaminated(d, items).collect()} == {3, 5, 6, 8, 9}
 
 
+def test_long_benchmark_items(spark, monkeypatch):
+    """An item of many pieces, dealt into several automata, finds each of its windows; its memory stays small."""
+    words = [f"w{i * 7919 % 100_003}" for i in range(900)]
+    monkeypatch.setattr(decontam, "PIECE", 100)
+    items = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:7]))], "item_id long, text string")
+    texts = [(k, " ".join(["x", *words[k : k + 10], "y"])) for k in range(0, 891, 11)] + [(5000, " ".join(words)), (5001, " ".join(words[200:209]))]
+    got = contaminated(decontam.contamination(frame(spark, [(i, t, "en", "s") for i, t in texts]), items, block_nodes=2500))
+    assert got == brute_contamination(texts, [tuple(r) for r in items.collect()])
+    tracemalloc.start()
+    a = decontam.Automaton([(str(i), " ".join(f"w{(i * 97 + j * j) % 50_021}" for j in range(500))) for i in range(100)], 10)
+    assert len(a.found) > 45_000 and tracemalloc.get_traced_memory()[0] < 100e6
+
+
 # --- 5 sharding
 
 

@@ -1,5 +1,6 @@
 """The queries and the pipeline over the smallest tables."""
 
+import re
 from itertools import combinations
 
 import pytest
@@ -29,6 +30,13 @@ def test_query(spark, sf, name):
     if name == "op3_chroma_matches":  # a row for each class of recordings that a query meets, or one of nulls
         assert {r.vec_id for r in out.select("vec_id").collect()} == {r.vec_id for r in n.filter("vec_id % 20 = 0").collect()}
         assert out.count() == out.select("vec_id", "match_class").distinct().count()
+    elif name == "benchmark_spans":
+        texts = {r.doc_id: r.text for r in n.collect()}
+        hit = {r.doc_id: r.n_hit for r in QUERIES["op4_decontamination"](spark, sf).filter("contaminated").collect()}
+        words = dict.fromkeys(hit, 0)
+        for r in out.collect():
+            words[r.doc_id] += len(re.findall("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", texts[r.doc_id][r.start : r.end]))
+        assert words == hit
     else:
         assert out.count() == (n.filter("vec_id % 20 = 0") if name == "op3_chroma_search" else n).count()
     want = CONTRACT.get(name.split("_")[0], [])
