@@ -27,6 +27,27 @@ _EMPTY = {
 }
 
 
+#: Blocks that a read names in the scan's filter, at most.
+FEW = 1_000
+
+
+def by_block(blocks: DataFrame) -> DataFrame:
+    """``blocks`` dealt and sorted by their names, for the statistics of the files."""
+    return blocks.repartitionByRange("chunk_id").sortWithinPartitions("chunk_id")
+
+
+def _numbered(rows: DataFrame, first: int) -> DataFrame:
+    """``rows`` with ``ord``: first, first + 1, ... by rel_path and id. Only a count for each partition comes to the driver."""
+    ranged = rows.repartitionByRange("rel_path", "id").sortWithinPartitions("rel_path", "id")
+    ranged = ranged.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).persist()
+    starts, at = [], first
+    for r in ranged.groupBy("_p").count().orderBy("_p").collect():
+        starts.append((r["_p"], at))
+        at += r["count"]
+    starts = rows.sparkSession.createDataFrame(starts, "_p int, _start long")
+    return ranged.join(F.broadcast(starts), "_p").withColumn("ord", F.col("_start") + F.col("_i")).drop("_p", "_i", "_start")
+
+
 class Lake:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.snapshots = spark, Snapshots(spark, root)
@@ -70,9 +91,18 @@ class Lake:
             recipes = recipes.join(ids, "content_id", "left_semi")
         return chunking.reconstruct(recipes, self.payloads(recipes.select("chunk_id").distinct()))
 
-    def payloads(self, chunks: DataFrame | None = None) -> DataFrame:
-        """(chunk_id, payload) of blocks, decoded; deltas through their bases."""
+    def payloads(self, chunks: DataFrame | None = None, few: bool = False) -> DataFrame:
+        """(chunk_id, payload) of blocks, decoded; deltas through their bases.
+
+        With ``few``, up to FEW wanted blocks and their bases are named in the scan's filter. Files
+        are sorted by block, so their statistics leave out nearly all row groups.
+        """
         every = self._read("blocks")
+        if few and chunks is not None:
+            names = [r.chunk_id for r in chunks.limit(FEW + 1).collect()]
+            if len(names) <= FEW:
+                bases = [r.base_id for r in every.filter(F.col("chunk_id").isin(names) & F.col("base_id").isNotNull()).select("base_id").distinct().collect()]
+                every = every.filter(F.col("chunk_id").isin([*names, *bases]))
         wanted = every if chunks is None else every.join(chunks, "chunk_id", "left_semi")
         deltas = wanted.filter("base_id is not null")
         needed = wanted.filter("base_id is null").select("chunk_id").union(deltas.select("base_id")).distinct()
@@ -84,7 +114,7 @@ class Lake:
     def read(self, ranges: DataFrame) -> DataFrame:
         """(content_id, content) of byte ranges (content_id, off, n)."""
         blocks = store.blocks_of_range(self._read("recipes"), ranges)
-        return chunking.read_ranges(blocks, self.payloads(blocks.select("chunk_id").distinct()))
+        return chunking.read_ranges(blocks, self.payloads(blocks.select("chunk_id").distinct(), few=True))
 
     def verify(self) -> DataFrame:
         """Contents that can't be rebuilt with their own hash."""
@@ -103,12 +133,17 @@ class Lake:
         """Store files (rel_path, content) as a package and return their entries.
 
         Contents and blocks that are there already cost nothing; new blocks of 1 KiB or more become
-        deltas where a near block pays. A file at the path of another entry takes its place.
+        deltas where a near block pays. A file at the path of another entry takes its place. Entries are
+        numbered by path. ``new`` may have a ``mode``; else it is 0644. Paths that leave the package's
+        folder are an error.
         """
+        if not new.filter(files.is_outside(F.col("rel_path")) | files.is_outside(F.lit(group))).isEmpty():
+            raise ValueError("a path leaves the package's folder")
         folder = f"/arquivos/{group}"
         known, old, index = self._read("entries"), self._read("recipes"), self._index()
         first = known.agg(F.coalesce(F.max("ord"), F.lit(-1))).first()[0] + 1
-        rows = new.select("rel_path", F.col("content").cast("binary").alias("content")).withColumn("id", F.sha2("content", 256)).persist()
+        mode = F.coalesce(F.col("mode").cast("long"), F.lit(0o644)) if "mode" in new.columns else F.lit(0o644).cast("long")
+        rows = new.select("rel_path", F.col("content").cast("binary").alias("content"), mode.alias("mode")).withColumn("id", F.sha2("content", 256)).persist()
         try:
             raw = rows.groupBy(F.col("id").alias("content_id")).agg(F.any_value("content").alias("content"), F.min(F.xxhash64("rel_path")).alias("ord"))
             raw = raw.join(old.select("content_id"), "content_id", "left_anti")
@@ -130,16 +165,19 @@ class Lake:
             cost = packed.select("chunk_id", F.octet_length("data").alias("n")).join(owner, "chunk_id").groupBy(F.col("content_id").alias("id")).agg(F.sum("n").alias("stored"))
             form = known.groupBy("id").agg(F.min_by("stored_size", "ord").alias("was"))
             path = F.concat(F.lit(folder + "/"), "rel_path")
-            added = rows.select("rel_path", "id", F.octet_length("content").cast("long").alias("size")).join(cost, "id", "left").join(form, "id", "left")
+            hits = chunking.put_results(raw, chunks, index).select(F.col("content_id").alias("id"), "hit_rate")
+            added = _numbered(rows.select("rel_path", "id", "mode", F.octet_length("content").cast("long").alias("size")), first)
+            added = added.join(cost, "id", "left").join(form, "id", "left").join(hits, "id", "left")
+            already = F.when(F.col("size") > 0, 100.0).otherwise(0.0)  # all blocks of a stored content are there
             made = added.select(
-                (F.monotonically_increasing_id() + first).alias("ord"), scalars.entry_uid(path, F.col("id")).alias("uid"), "id", scalars.base_name(F.col("rel_path")).alias("name"),
+                "ord", scalars.entry_uid(path, F.col("id")).alias("uid"), "id", scalars.base_name(F.col("rel_path")).alias("name"),
                 F.lit(group).alias("group"), "rel_path", F.lit(folder).alias("folder"), path.alias("path"), F.lit(True).alias("is_dir"), F.lit("").alias("source_path"), "size",
                 F.lit("").alias("pack_file"), F.coalesce("was", "stored", F.lit(0)).cast("long").alias("stored_size"), F.lit(schema.BLOCKS).alias("storage"), F.lit(codebook).alias("codebook"),
-                F.lit(0.0).alias("hit_rate"), F.lit(0o644).cast("long").alias("mode"), F.lit(None).cast("array<string>").alias("pack_flags"), F.current_timestamp().alias("packed_at"), F.lit(True).alias("verified"),
+                F.coalesce("hit_rate", already).alias("hit_rate"), "mode", F.lit(None).cast("array<string>").alias("pack_flags"), F.current_timestamp().alias("packed_at"), F.lit(True).alias("verified"),
             )
             places = self._read("folders").union(self.spark.createDataFrame([(folder,)], "path string")).select(F.explode(scalars.ancestors(F.col("path"))).alias("path")).distinct()
             entries = catalog.replace_entries(known, made)
-            self.snapshots.publish({"entries": entries, "folders": places}, {"blocks": packed, "recipes": chunks.select("content_id", "seq", "chunk_id", "len"), "features": bases})
+            self.snapshots.publish({"entries": entries, "folders": places}, {"blocks": by_block(packed), "recipes": chunks.select("content_id", "seq", "chunk_id", "len"), "features": bases})
         finally:
             self.spark.catalog.clearCache()
         return self._read("entries").filter(F.col("group") == group)
@@ -150,13 +188,40 @@ class Lake:
         recipes = self._read("recipes").join(kept.select(F.col("id").alias("content_id")), "content_id", "left_semi")
         self.snapshots.publish({"entries": kept, "recipes": recipes})
 
-    def gc(self) -> None:
-        """Blocks that nothing needs go, with their features; bases of dead deltas stay for one more round."""
+    def gc(self, least_share: float = 0.0) -> int:
+        """Blocks that nothing needs go, with their features; bases of dead deltas stay for one more round. Bytes that went.
+
+        Only folders of blocks in which more than ``least_share`` of the bytes is dead are written anew,
+        without them; the others stay as they are. Nothing is published if there are none. The old
+        folders go with vacuum(). Refused while a stored content has a damaged recipe: what it needs
+        isn't known.
+        """
         index = self._index()
-        live = store.mark_live(index, self._read("recipes"))
-        blocks = self._read("blocks").join(live, "chunk_id", "left_semi")
-        features = store.compact_features(self._read("features"), blocks.select("chunk_id", F.col("base_id").isNotNull().alias("is_delta")), force=True)
-        self.snapshots.publish({"blocks": blocks, "features": features})
+        stored = self._read("entries").filter(F.col("storage") == schema.BLOCKS).select(F.col("id").alias("content_id"), "size")
+        if (bad := store.damaged_recipes(stored, self._read("recipes"), index).limit(3).collect()) != []:
+            raise catalog.CatalogError(f"damaged recipes, so nothing is deleted: {', '.join(r.content_id for r in bad)} …")
+        live = store.mark_live(index, self._read("recipes")).persist()
+        try:
+            placed = self.snapshots.by_folder("blocks").select("chunk_id", "folder", F.octet_length("data").cast("long").alias("n"))
+            dead = placed.join(live.withColumn("live", F.lit(True)), "chunk_id", "left").groupBy("folder").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("live").isNull(), F.col("n"))).alias("dead"))
+            worth = {r.folder: r.dead for r in dead.filter(F.col("dead") > F.col("n") * least_share).collect()}  # a row for each change
+            if not worth:
+                return 0
+            old = self.spark.read.parquet(*(f"{self.snapshots.root}/{folder}" for folder in worth))
+            gone = old.join(live, "chunk_id", "left_anti").select("chunk_id")
+            blocks = old.join(live, "chunk_id", "left_semi")
+            features = self._read("features").join(gone, "chunk_id", "left_anti")
+            left = index.join(gone, "chunk_id", "left_anti").select("chunk_id", "is_delta")
+            features = store.compact_features(features, left, force=True)
+            kept = [folder for folder in self.snapshots.tables()["blocks"] if folder not in worth]
+            self.snapshots.publish({"blocks": by_block(blocks), "features": features}, kept={"blocks": kept})
+            return sum(worth.values())
+        finally:
+            live.unpersist()
+
+    def vacuum(self, keep_versions: int = 1) -> int:
+        """Delete old versions and the files that only they need; how many folders went."""
+        return self.snapshots.vacuum(keep_versions)
 
     def rebase(self) -> None:
         """Bases that only deltas need are given up where that pays: their deltas move to other bases, or become whole.
@@ -232,6 +297,8 @@ class Lake:
     def import_group(self, path: str, group: str) -> DataFrame:
         """Add a package from export_group(), under a name."""
         members, blocks = files.open_bundle(self.spark, path)
+        if not members.filter(files.is_outside(F.col("rel_path"))).isEmpty():
+            raise ValueError("the package has paths that leave its folder")
         whole = chunking.reconstruct(blocks, chunking.new_chunks(blocks.withColumn("ord", F.lit(0))).select("chunk_id", "payload"))
         check = members.select(F.col("rel_path").alias("name"), F.col("id").alias("sha256"), "size").filter("size > 0").drop("size")
         if not files.bundle_errors(check, whole).isEmpty():

@@ -35,12 +35,23 @@ def blocks_of_range(recipes: DataFrame, ranges: DataFrame) -> DataFrame:
 
     An equi-join on the content keeps the range test within its own blocks; reads past the end stop there.
     """
-    at = offsets(recipes).join(ranges.filter("off >= 0 and n > 0"), "content_id")
+    asked = ranges.filter("off >= 0 and n > 0")
+    at = offsets(recipes.join(asked.select("content_id").distinct(), "content_id", "left_semi")).join(asked, "content_id")
     at = at.filter((F.col("start") < F.col("off") + F.col("n")) & (F.col("start") + F.col("len") > F.col("off")))
     skip = F.greatest(F.col("off") - F.col("start"), F.lit(0))
     return at.select("content_id", "seq", "chunk_id", skip.alias("skip"), (F.least(F.col("len"), F.col("off") + F.col("n") - F.col("start")) - skip).alias("take"))
 
 
+def damaged_recipes(contents: DataFrame, recipes: DataFrame, index: DataFrame) -> DataFrame:
+    """(content_id) of ``contents`` (content_id, size) whose recipe can't be followed: it is missing or has gaps, its lengths
+    don't add up to the size, or it names a block that the index doesn't have."""
+    lost = recipes.join(index.select("chunk_id"), "chunk_id", "left_anti").select("content_id").distinct().withColumn("lost", F.lit(True))
+    sums = recipes.groupBy("content_id").agg(F.count("*").alias("n"), F.count_distinct("seq").alias("places"), F.min("seq").alias("low"), F.max("seq").alias("high"), F.sum("len").alias("bytes"))
+    every = contents.select("content_id", "size").distinct().join(sums, "content_id", "left").join(lost, "content_id", "left")
+    whole = (F.col("n") == F.col("places")) & (F.col("low") == 0) & (F.col("high") == F.col("n") - 1) & (F.col("bytes") == F.col("size")) & F.col("lost").isNull()
+    return every.filter(~F.coalesce(whole, F.col("size") == 0)).select("content_id")
+
+
 def mark_live(index: DataFrame, recipes: DataFrame) -> DataFrame:
     """Blocks that must stay: those of the recipes, and the bases of all indexed deltas, of dead ones too."""
     return recipes.select("chunk_id").union(index.filter("is_delta").select(F.col("base_id").alias("chunk_id"))).distinct()

@@ -83,8 +83,12 @@ def size_rollup(spark, d):
 
 @query
 def bundle_meta(spark, d):
-    m = files.bundle_meta(fx.entries(spark, d))
-    return m.select("group", "codebook", F.size("members").cast("long").alias("members"), F.sha2(F.array_join(F.transform("members", lambda x: F.concat(x["name"], F.lit(":"), x["sha256"])), ","), 256).alias("members_sha256"), "bytes")
+    return files.bundle_meta(fx.entries(spark, d))
+
+
+@query
+def bundle_members(spark, d):
+    return files.bundle_members(fx.entries(spark, d))
 
 
 # --- search and listings

@@ -112,7 +112,9 @@ FROM (SELECT seg, sum(comp_len) AS bytes FROM frames GROUP BY seg)""",
     "content_info": "SELECT content_id, count(*) AS chunks, count(DISTINCT chunk_id) AS distinct_chunks, sum(len)::BIGINT AS size, (sum(len) // count(*))::BIGINT AS mean_chunk FROM recipes GROUP BY content_id",
     "dup_contents": "SELECT id, count(*) AS copies, min(ord) AS first_ord, (sum(size) - min_by(size, ord))::BIGINT AS saved_bytes FROM entries GROUP BY id HAVING count(*) > 1",
     "size_rollup": "SELECT grp AS package, lang, count(*) AS files, sum(size)::BIGINT AS bytes, grouping(grp, lang)::INT AS level FROM entries GROUP BY ROLLUP (grp, lang)",
-    "bundle_meta": """SELECT grp AS "group", min_by(codebook, ord) AS codebook, count(*) AS members, sha256(string_agg(rel_path || ':' || id, ',' ORDER BY rel_path, size, id)) AS members_sha256, sum(size)::BIGINT AS bytes FROM entries GROUP BY grp""",
+    "bundle_meta": """SELECT grp AS "group", min_by(codebook, ord) AS codebook, count(*) AS members, sum(size)::BIGINT AS bytes,
+       sum(('0x' || substr(md5(rel_path || ':' || size || ':' || id), 1, 15))::BIGINT)::VARCHAR AS members_sum FROM entries GROUP BY grp""",
+    "bundle_members": 'SELECT grp AS "group", rel_path AS name, size, id AS sha256 FROM entries',
     "match_term": "SELECT * FROM (SELECT CASE WHEN starts_with(id, 'doc_1') OR name = 'doc_1' OR grp = 'doc_1' OR rel_path = 'doc_1' THEN 0 WHEN contains(name, 'doc_1') OR contains(grp, 'doc_1') OR contains(rel_path, 'doc_1') THEN 1 END AS rank, ord, name FROM entries) WHERE rank IS NOT NULL",
     "match_package": """SELECT * FROM (SELECT CASE WHEN starts_with(id, 'src1') OR lower(grp) = 'src1' OR lower(name) = 'src1' OR lower(rel_path) = 'src1' THEN 0 WHEN contains(lower(grp), 'src1') OR contains(lower(name), 'src1') OR contains(lower(rel_path), 'src1') THEN 1 END AS rank, ord, grp AS "group" FROM entries) WHERE rank IS NOT NULL""",
     "grep_lines": """

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunklake import schema
@@ -65,10 +65,26 @@ def export_group(entries: DataFrame, chunks: DataFrame, group: str, path: str) -
     chunks.join(own.select(F.col("id").alias("content_id")), "content_id", "left_semi").write.parquet(f"{path}/blocks")
 
 
+def bundle_members(entries: DataFrame) -> DataFrame:
+    """(group, name, size, sha256) of each member of each package, a row each."""
+    return entries.select("group", F.col("rel_path").alias("name"), "size", F.col("id").alias("sha256"))
+
+
 def bundle_meta(entries: DataFrame) -> DataFrame:
-    """(group, codebook, members, bytes) of each package; members by relative path."""
-    member = F.struct(F.col("rel_path").alias("name"), "size", F.col("id").alias("sha256"))
-    return entries.groupBy("group").agg(F.min_by("codebook", "ord").alias("codebook"), F.array_sort(F.collect_list(member)).alias("members"), F.sum("size").alias("bytes"))
+    """(group, codebook, members, bytes, members_sum) of each package.
+
+    members counts them; members_sum is the sum of the first 60 bits of the MD5 of "name:size:sha256" of
+    each, which tells packages apart whatever the order. Partial sums only: a package of any size never
+    meets in one row.
+    """
+    member = F.concat_ws(":", "rel_path", F.col("size").cast("string"), "id")
+    part = F.conv(F.substring(F.md5(member), 1, 15), 16, 10).cast("decimal(38,0)")
+    return entries.groupBy("group").agg(F.min_by("codebook", "ord").alias("codebook"), F.count("*").alias("members"), F.sum("size").alias("bytes"), F.sum(part).cast("string").alias("members_sum"))
+
+
+def is_outside(path: Column) -> Column:
+    """Whether a relative path is absolute or climbs with "..", so that it could leave the folder it is put in."""
+    return F.coalesce(path.rlike(r"^[/\\]|^[A-Za-z]:|(^|[/\\])\.\.([/\\]|$)") | path.contains("\x00"), F.lit(False))
 
 
 def open_bundle(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -93,12 +109,13 @@ def bundle_errors(members: DataFrame, rebuilt: DataFrame) -> DataFrame:
 
 def extract_plan(entries: DataFrame, existing: DataFrame, target: str, force: bool = False) -> DataFrame:
     """(ord, id, target, mode, status) of an extraction: each content goes to a target once; a target that exists is left
-    alone unless forced."""
+    alone unless forced. What would leave the target's folder by its group or path is ``refused``."""
     to = F.concat(F.lit(target.rstrip("/") + "/"), F.when(F.col("group") == "", F.col("rel_path")).otherwise(F.concat("group", F.lit("/"), "rel_path")))
-    e = entries.select("ord", "id", to.alias("target"), scalars.display_mode(F.col("mode")).alias("mode"))
-    e = e.groupBy("id", "target").agg(F.min("ord").alias("ord"), F.min_by("mode", "ord").alias("mode"))
+    bad = is_outside(F.col("group")) | is_outside(F.col("rel_path"))
+    e = entries.select("ord", "id", to.alias("target"), scalars.display_mode(F.col("mode")).alias("mode"), bad.alias("bad"))
+    e = e.groupBy("id", "target").agg(F.min("ord").alias("ord"), F.min_by("mode", "ord").alias("mode"), F.max("bad").alias("bad"))
     e = e.join(existing.select("target", F.lit(True).alias("there")).distinct(), "target", "left")
-    status = F.when(F.col("there") & F.lit(not force), "exists").otherwise("write")
+    status = F.when(F.col("bad"), "refused").when(F.col("there") & F.lit(not force), "exists").otherwise("write")
     return e.select("ord", "id", "target", "mode", status.alias("status"))
 
 

@@ -15,7 +15,17 @@ from chunklake.sources.snapshot import Snapshots
 
 def idle_periods(events: DataFrame, gap: str = "10 minutes") -> DataFrame:
     """(start, end, events): runs of activity; between the end of one, a gap after its last event, and the next the store
-    is idle. Works on streams (with a watermark) and tables alike."""
+    is idle. Works on streams (with a watermark) and tables alike.
+
+    A table's events are first summed up by windows of one gap, in which no two are a gap apart; runs
+    come from these sums, so one task sees a row for each gap of time with an event, not the events.
+    """
+    if not events.isStreaming:
+        by = events.groupBy(F.window("ts", gap).alias("w")).agg(F.min("ts").alias("low"), F.max("ts").alias("high"), F.count("*").alias("n"))
+        order = Window.orderBy("low")
+        after = F.expr(f"lag(high) over (order by low) + interval {gap}")
+        run = by.withColumn("opens", (after.isNull() | (F.col("low") >= after)).cast("int")).withColumn("run", F.sum("opens").over(order))
+        return run.groupBy("run").agg(F.min("low").alias("start"), F.max("high").alias("last"), F.sum("n").alias("events")).select("start", F.expr(f"last + interval {gap}").alias("end"), "events")
     out = events.groupBy(F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("events"))
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events")
 

@@ -1,6 +1,7 @@
 """A lake from add to gc."""
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -49,6 +50,70 @@ def test_life(spark, lake, tmp_path):
     assert {r.path for r in lake.tree().collect()} >= {"/", "/arquivos", "/arquivos/one", "/arquivos/back"}
 
 
+def disk(lake):
+    top = Path(lake.snapshots.root)
+    return sum(f.stat().st_size for f in (top / "blocks").rglob("*.parquet"))
+
+
+def test_gc_frees_the_disk(spark, lake):
+    """After remove, gc and vacuum the files of dead blocks are gone; folders without any stay as they are."""
+    rng = random.Random(4)
+    kept = files_of(spark, [("k", rng.randbytes(200_000))])
+    lake.add(kept, "kept")
+    folders = set(lake.snapshots.tables()["blocks"])
+    lake.add(files_of(spark, [("a", rng.randbytes(300_000)), ("b", rng.randbytes(100_000))]), "mixed")
+    before = disk(lake)
+    lake.remove(lake.entries().filter("name = 'a'").select("uid"))
+    assert lake.gc(least_share=0.9) == 0  # three quarters of the folder are dead
+    version = lake.snapshots.versions()[-1]
+    assert lake.gc() > 290_000 and folders <= set(lake.snapshots.tables()["blocks"])
+    assert lake.verify().count() == 0 and disk(lake) > before  # the old version is still there
+    assert lake.vacuum() > 0 and disk(lake) < before - 250_000
+    assert lake.snapshots.versions() == [version + 1] and lake.verify().count() == 0
+    after = disk(lake)
+    assert lake.gc() == 0 and lake.vacuum() == 0 and disk(lake) == after and lake.stats().first().files == 2
+    lake.add(kept, "again")
+    assert lake.verify().count() == 0
+
+
+def test_damaged_recipes_stop_gc(spark, lake):
+    lake.add(files_of(spark, [("a", random.Random(5).randbytes(200_000)), ("empty", b"")]), "g")
+    lake.remove(lake.entries().filter("name = 'empty'").select("uid"))
+    good = lake._read("recipes")
+    assert lake.gc() == 0
+    for bad in (good.filter("seq <> 1"), good.limit(0), good.withColumn("chunk_id", F.when(F.col("seq") == 0, "none").otherwise(F.col("chunk_id"))), good.withColumn("len", F.col("len") + 1)):
+        lake.snapshots.publish({"recipes": bad})
+        with pytest.raises(CatalogError, match="damaged"):
+            lake.gc()
+        lake.snapshots.publish({"recipes": good})
+    assert lake.gc() == 0 and lake.verify().count() == 0
+
+
+def test_entries_of_an_add(spark, lake, tmp_path):
+    text = b"".join(b"%d and more words\n" % (i * i) for i in range(4000))
+    rows = [(f"d/{i:03}", bytearray(text if i % 2 else text[: 10_000 + i]), 0o755 if i == 3 else None) for i in range(20)]
+    lake.add(spark.createDataFrame(rows[::-1], "rel_path string, content binary, mode int").repartition(5), "g")
+    got = lake.entries().orderBy("ord").collect()
+    assert [r.rel_path for r in got] == [r[0] for r in rows] and [r.ord for r in got] == list(range(20))
+    assert got[3].mode == 0o755 and got[4].mode == 0o644
+    lake.add(spark.createDataFrame(rows[1:2], "rel_path string, content binary, mode int"), "h")
+    assert lake.entries().filter("`group` = 'h'").first().hit_rate == 100.0
+    for path in ("../x", "/x", "a/../../x", "..", "C:\\x"):
+        with pytest.raises(ValueError, match="leaves"):
+            lake.add(files_of(spark, [(path, b"x")]), "g")
+    lake.export_group("h", str(tmp_path / "bad"))
+    members = spark.read.parquet(str(tmp_path / "bad/entries")).withColumn("rel_path", F.lit("../../escaped"))
+    members.write.parquet(str(tmp_path / "worse/entries"))
+    spark.read.parquet(str(tmp_path / "bad/blocks")).write.parquet(str(tmp_path / "worse/blocks"))
+    with pytest.raises(ValueError, match="leave"):
+        lake.import_group(str(tmp_path / "worse"), "in")
+    cid = got[1].id
+    read = lake.read(spark.createDataFrame([(cid, 5, 9_000)], "content_id string, off long, n long"))
+    assert bytes(read.first().content) == text[5:9_005]
+    scans = read._jdf.queryExecution().executedPlan().toString()
+    assert "In(chunk_id" in scans or "EqualTo(chunk_id" in scans
+
+
 def test_rebase(spark, lake):
     base = random.Random(3).randbytes(20_000)
     near = bytearray(base)

@@ -6,7 +6,14 @@ from pyspark.sql import functions as F
 from chunklake.functions import scalars
 from chunklake.operators import catalog, reports, search
 
-CODEBOOKS = [("h1", 1000, 100, "h1.pack", "vault", 0.0), ("h1", 1000, 100, "h1.pack", "vault", 0.0), ("h2", 500, 620, "h2.pack", "vault", 0.0), ("h3", 800, 300, "h3.pack", "code", 90.0), ("h4", 100, 120, "h4.pack", "", 0.0)]
+#: id, size, stored size, pack file, codebook, hit rate
+ROWS = [("c7", 7300, 911, "c7.pack", "prose", 12.5), ("c7", 7300, 911, "c7.pack", "prose", 12.5), ("c7", 7300, 911, "c7.pack", "prose", 12.5), ("d2", 64, 91, "d2.pack", "prose", 0.0), ("e5", 20_480, 4_097, "e5.pack", "tables", 61.0), ("f1", 333, 350, "f1.pack", "", 0.0)]
+
+
+def totals(rows):
+    """files, distinct contents, bytes, bytes saved by copies, bytes stored."""
+    once = {r[0]: r for r in rows}.values()
+    return len(rows), len(once), sum(r[1] for r in rows), sum(r[1] for r in rows) - sum(r[1] for r in once), sum(r[2] for r in once)
 
 
 def entries(spark, rows):
@@ -15,35 +22,39 @@ def entries(spark, rows):
 
 
 def test_human_sizes(spark):
-    want = {0: "0 B", 512: "512 B", 1024: "1.0 KB", 1536: "1.5 KB", 1280: "1.2 KB", 1048576: "1.0 MB", 5505000: "5.2 MB"}
+    units = ["B", "KB", "MB", "GB"]
+    sizes = [0, 1, 999, 1023, 1024, 3000, 70_000, 1 << 20, 7_654_321, (1 << 30) + 1, 5 << 32]
+    want = {}
+    for n in sizes:
+        k = next(k for k in range(4) if n < 1 << 10 * (k + 1) or k == 3)
+        want[n] = f"{n} B" if k == 0 else f"{n / (1 << 10 * k):.1f} {units[k]}"
     got = spark.createDataFrame([(k,) for k in want], "n long").select("n", scalars.human_size(F.col("n")).alias("t")).collect()
     assert {r.n: r.t for r in got} == want
 
 
 def test_stats(spark):
-    r = reports.stats(entries(spark, CODEBOOKS[:3])).first()
-    assert (r.files, r.unique_contents, r.original_bytes, r.dedup_saved_bytes, r.stored_bytes) == (3, 2, 2500, 1000, 720)
-    r = reports.stats(entries(spark, CODEBOOKS).limit(0)).first()
+    r = reports.stats(entries(spark, ROWS)).first()
+    assert (r.files, r.unique_contents, r.original_bytes, r.dedup_saved_bytes, r.stored_bytes) == totals(ROWS)
+    r = reports.stats(entries(spark, ROWS).limit(0)).first()
     assert (r.files, r.original_bytes, r.stored_bytes, r.avg_ratio) == (0, 0, 0, 0.0)
 
 
 def test_codebooks(spark):
-    books = spark.createDataFrame([("vault", 2, True)], "name string, size long, is_default boolean")
-    got = reports.codebook_stats(entries(spark, CODEBOOKS), books).collect()
-    assert [r.codebook for r in got] == ["vault", "code", ""]
-    v = got[0]
-    assert (v.members, v.unique_contents, v.original_bytes, v.stored_bytes, v.saved_bytes, v.db_size) == (3, 2, 2500, 720, 1780, 2)
-    assert (got[1].saved_bytes, got[1].avg_hit, got[2].saved_bytes) == (500, 90.0, -20)
-    whole = reports.stats(entries(spark, CODEBOOKS)).first()
-    assert sum(r.original_bytes for r in got) == whole.original_bytes and sum(r.stored_bytes for r in got) == whole.stored_bytes
-    assert reports.codebook_stats(entries(spark, CODEBOOKS).limit(0), books).count() == 0
+    books = spark.createDataFrame([("prose", 77, True)], "name string, size long, is_default boolean")
+    got = {r.codebook: r for r in reports.codebook_stats(entries(spark, ROWS), books).collect()}
+    assert set(got) == {"prose", "tables", ""} and got["prose"].db_size == 77
+    for name, r in got.items():
+        files, unique, size, _, stored = totals(own := [x for x in ROWS if x[4] == name])
+        assert (r.members, r.unique_contents, r.original_bytes, r.stored_bytes) == (files, unique, size, stored)
+        assert r.saved_bytes == size - stored and (name == "prose" or r.avg_hit == own[0][5])
+    assert reports.codebook_stats(entries(spark, ROWS).limit(0), books).count() == 0
 
 
 def test_match(spark):
-    rows = [(0, "abcdef1234567890", "relatorio.pdf", "docs", "relatorio.pdf"), (1, "ffffffffffffffff", "relatorio_final.pdf", "docs2", "x/relatorio_final.pdf")]
+    rows = [(0, "0123cafe89ab4567", "harbour map.svg", "atlas", "north/harbour map.svg"), (1, "99ee00ff11aa22bb", "harbour map old.svg", "atlas-archive", "harbour map old.svg")]
     e = spark.createDataFrame(rows, "ord long, id string, name string, `group` string, rel_path string")
-    assert [search.match(e, t).count() for t in ("relatorio.pdf", "ABC", "docs", "nothing", "")] == [1, 1, 2, 0, 2]
-    assert [r["rank"] for r in search.match(e, "docs").collect()] == [0, 1]
+    assert [search.match(e, t).count() for t in ("harbour map.svg", "0123CAFE", "atlas", "lighthouse", "")] == [1, 1, 2, 0, 2]
+    assert [r["rank"] for r in search.match(e, "atlas").collect()] == [0, 1]
 
 
 def test_grep_cuts_by_bytes(spark):

@@ -29,6 +29,11 @@ def test_scan_and_extract(spark, tmp_path):
     again = files.extract_plan(e, plan.select("target"), str(tmp_path / "out"))
     assert {r.status for r in again.collect()} == {"exists"}
     assert {r.status for r in files.extract_plan(e, plan.select("target"), str(tmp_path / "out"), force=True).collect()} == {"write"}
+    for group, path in (("g", "../../escaped.txt"), ("g", "/etc/x"), ("..", "x"), ("g", "a/../../../x"), ("g", "..\\x")):
+        bad = files.extract_plan(e.limit(1).withColumns({"group": F.lit(group), "rel_path": F.lit(path)}), none, str(tmp_path / "out"))
+        assert [r.status for r in bad.collect()] == ["refused"] and files.extract(bad, raw.select("content_id", "content")).count() == 0
+    fine = files.extract_plan(e.limit(1).withColumn("rel_path", F.lit("a..b/...c/d..")), none, str(tmp_path / "out"))
+    assert fine.first().status == "write"
 
 
 def test_manifest(spark, tmp_path):
