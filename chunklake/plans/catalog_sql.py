@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from chunklake.functions import kernels
+
 #: The fixture tables, by the rules of fixtures.
 _TABLES = r"""
 WITH RECURSIVE entries AS (
@@ -234,4 +236,56 @@ GROUP BY run""",
     "events_tumbling": "SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS start, event_type, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY ALL",
 }
 
+def _doublings(sql: str) -> str:
+    """The rolling hash of 64 bytes in six steps: after each, ``h`` covers twice as many bytes."""
+    for w in (1, 2, 4, 8, 16, 32):
+        sql = f"SELECT content_id, n, i, v, (h + coalesce(lag(h, {w}) OVER (PARTITION BY content_id ORDER BY i), 0) * {1 << w}) % {1 << 64} AS h FROM ({sql})"
+    return sql
+
+
+#: Blocks of the distinct texts: (content_id, ord, start, len, seq, chunk_id). The hash covers 64 bytes of the whole text, but
+#: the first 63 places after a block's minimum see only the bytes from there on: what came before is taken off by its shift.
+_CHUNKS = f"""
+WITH RECURSIVE gear(b, v) AS MATERIALIZED (VALUES {", ".join(f"({b}, {int(v)}::HUGEINT)" for b, v in enumerate(kernels.GEAR))}),
+raw AS MATERIALIZED (
+  SELECT sha256(text) AS content_id, min(doc_id) AS ord, hex(encode(any_value(text))) AS x, strlen(any_value(text)) AS n
+  FROM documents WHERE text IS NOT NULL GROUP BY 1
+), byt AS MATERIALIZED (
+  SELECT content_id, n, i, v, v AS h
+  FROM (SELECT content_id, n, i, ('0x' || substr(x, 2 * i + 1, 2))::INT AS b FROM (SELECT content_id, n, x, unnest(range(n)) AS i FROM raw WHERE n > 4096)) JOIN gear USING (b)
+), roll AS MATERIALIZED (
+  {_doublings("SELECT content_id, n, i, v, h FROM byt")}
+), low AS MATERIALIZED (
+  SELECT content_id, i, h FROM roll WHERE h < {1 << 52}
+), c(content_id, n, s, e) AS (
+  SELECT content_id, n, 0::BIGINT, 0::BIGINT FROM raw WHERE n > 4096
+  UNION ALL
+  SELECT c.content_id, c.n, c.e, c.e + coalesce(
+    CASE WHEN c.n - c.e <= 4096 THEN c.n - c.e END,
+    (SELECT min(k.i) - c.e + 1 FROM roll k JOIN roll p USING (content_id) WHERE k.content_id = c.content_id AND p.i = c.e + 4095 AND k.i >= c.e + 4096 AND k.i < least(c.e + 4096 + 63, c.n)
+       AND (k.h - (p.h * (1::HUGEINT << (k.i - p.i)::INT)) % {1 << 64} + {1 << 64}) % {1 << 64} < {1 << 48}),
+    (SELECT min(k.i) - c.e + 1 FROM low k WHERE k.content_id = c.content_id AND k.i >= c.e + 4096 + 63 AND k.i < least(c.e + 16384, c.n) AND k.h < {1 << 48}),
+    (SELECT min(k.i) - c.e + 1 FROM low k WHERE k.content_id = c.content_id AND k.i >= c.e + 16384 AND k.i < least(c.e + 65536, c.n)),
+    least(c.n - c.e, 65536))
+  FROM c WHERE c.e < c.n
+), pieces AS (
+  SELECT content_id, s AS start, e - s AS len FROM c WHERE e > 0
+  UNION ALL SELECT content_id, 0, n FROM raw WHERE n BETWEEN 1 AND 4096
+), chunks AS MATERIALIZED (
+  SELECT content_id, ord, start, len, row_number() OVER (PARTITION BY content_id ORDER BY start) - 1 AS seq,
+         sha256(unhex(substr(x, 2 * start + 1, 2 * len))) AS chunk_id
+  FROM pieces JOIN raw USING (content_id)
+)
+"""
+
 ORACLE_SQL: dict[str, str] = {name: _TABLES + body for name, body in _BODIES.items()}
+ORACLE_SQL["chunk_documents"] = _CHUNKS + "SELECT content_id, seq::INT AS seq, chunk_id, start, len FROM chunks"
+ORACLE_SQL["chunk_dedup"] = _CHUNKS + """, firsts AS (
+  SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY ord, seq) AS k FROM chunks
+), sums AS (
+  SELECT content_id, count(*) AS chunks, sum(len)::BIGINT AS size, count(*) FILTER (k = 1) AS new_chunks, coalesce(sum(len) FILTER (k = 1), 0)::BIGINT AS new_bytes
+  FROM firsts GROUP BY content_id
+)
+SELECT content_id, coalesce(chunks, 0) AS chunks, coalesce(size, 0) AS size, coalesce(new_chunks, 0) AS new_chunks, coalesce(new_bytes, 0) AS new_bytes,
+       CASE WHEN chunks > 0 THEN round((chunks - new_chunks) * 100.0::DOUBLE / chunks, 6) ELSE 0.0::DOUBLE END AS hit_rate
+FROM raw LEFT JOIN sums USING (content_id)"""
