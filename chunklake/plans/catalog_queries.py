@@ -220,6 +220,13 @@ def move_entry(spark, d):
     return catalog.move_entry(fx.entries(spark, d), fx.folders(spark, d), "doc-5", "/notes").select("ord", "folder", "path")
 
 
+@query
+def rename_entry(spark, d):
+    e = fx.entries(spark, d)
+    old = e.filter("uid = 'doc-7'").first().path
+    return catalog.rename_entry(e, old, "/arquivos/renamed/sub/new.txt").select("ord", "name", "folder", "path", "group")
+
+
 @query
 def rename_group(spark, d):
     _, e = catalog.rename_group(fx.folders(spark, d), fx.entries(spark, d), "src3", "renamed")
@@ -523,6 +530,14 @@ def roundtrip_sha(spark, d):
     return chunking.reconstruct(blocks, payloads).select("content_id", "ok", F.octet_length("content").cast("long").alias("size"))
 
 
+@query
+def bundle_errors(spark, d):
+    """Members of all packages against rebuilt contents of which some have another byte and some are lost."""
+    raw = _raw(spark, d)
+    bad = raw.filter("ord % 13 <> 1").select("content_id", F.when(F.col("ord") % 13 == 2, F.concat("content", F.lit(b"x").cast("binary"))).otherwise(F.col("content")).alias("content"))
+    return files.bundle_errors(files.bundle_members(fx.entries(spark, d)).select("name", "sha256").distinct(), bad)
+
+
 @query
 def near_blocks(spark, d):
     blocks = chunking.new_chunks(chunking.chunk(_raw(spark, d), payload=True)).select("chunk_id", "payload")
@@ -568,6 +583,15 @@ def idle_sessions(spark, d):
     return jobs.idle_periods_by(e, "user_id", 600).select("user_id", "start", "last", "events")
 
 
+@query
+def may_work(spark, d):
+    """Whether maintenance may run after each event, by metrics made of its numbers."""
+    e = fx.table(spark, d, "events")
+    quiet, load, free = (F.col("event_id") * 37 % 1200).alias("idle_seconds"), (F.col("event_id") % 40 / 10).alias("load1"), (F.col("event_id") * 11 % 2000).alias("free_mb")
+    m = e.select("event_id", quiet, load, free, (F.col("event_id") % 9 == 0).alias("open_batch"))
+    return m.select("event_id", jobs.may_work(m, 8).alias("may_work"))
+
+
 @query
 def activity_sessions(spark, d):
     return jobs.idle_periods(fx.table(spark, d, "events"), "10 minutes")

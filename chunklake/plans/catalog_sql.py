@@ -145,6 +145,10 @@ WHERE NOT (line = '' AND i = n) AND contains(lower(line), 'the') ORDER BY ord, l
     "renamed_folders": "SELECT DISTINCT CASE WHEN path = '/arquivos/src1' OR starts_with(path, '/arquivos/src1/') THEN '/moved/one' || substr(path, 15) ELSE path END AS path FROM folders",
     "delete_folder": "SELECT ord, CASE WHEN grp = 'src2' THEN '/arquivos' ELSE folder END AS folder, CASE WHEN grp = 'src2' THEN '/arquivos/' || name ELSE path END AS path FROM entries",
     "move_entry": "SELECT ord, CASE WHEN uid = 'doc-5' THEN '/notes' ELSE folder END AS folder, CASE WHEN uid = 'doc-5' THEN '/notes/' || rel_path ELSE path END AS path FROM entries",
+    "rename_entry": """SELECT ord, CASE WHEN uid = 'doc-7' THEN 'new.txt' ELSE name END AS name, CASE WHEN uid = 'doc-7' THEN '/arquivos/renamed' ELSE folder END AS folder,
+       CASE WHEN uid = 'doc-7' THEN '/arquivos/renamed/sub/new.txt' ELSE path END AS path, CASE WHEN uid = 'doc-7' THEN 'renamed' ELSE grp END AS "group" FROM entries""",
+    "bundle_errors": "SELECT DISTINCT rel_path AS name, e.id AS sha256 FROM entries e JOIN contents c ON c.content_id = e.id WHERE c.ord % 13 IN (1, 2)",
+    "may_work": "SELECT event_id, event_id * 37 % 1200 >= 600 AND event_id % 40 / 10.0 <= 2.4 AND event_id * 11 % 2000 >= 768 AND event_id % 9 <> 0 AS may_work FROM events",
     "rename_group": """SELECT ord, CASE WHEN grp = 'src3' THEN 'renamed' ELSE grp END AS "group", CASE WHEN grp = 'src3' THEN '/arquivos/renamed/' || rel_path ELSE path END AS path FROM entries""",
     "create_folder": "SELECT path FROM folders UNION SELECT unnest(['/', '/deep', '/deep/new', '/deep/new/folder'])",
     "add_plan": """
