@@ -34,7 +34,7 @@ def drop_boilerplate(pages: DataFrame, site: Column, ratio: float = 0.01, least:
     """``pages`` with last columns ``line_dedup`` struct(text, n_lines, n_dropped).
 
     A line is dropped if over ``ratio`` of the pages of its site hold it, and at least ``least``.
-    Lines are parted by newlines and compared exactly; blank lines stay. A null text stays null and
+    Lines are parted by newlines and compared by their XXH64 within a site; blank lines stay. A null text stays null and
     has no lines; pages without a site (null) are one site. Repeated rows are pages of their own.
     A column of ``pages`` called line_dedup is replaced.
     """
