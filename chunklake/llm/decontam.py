@@ -20,6 +20,8 @@ WINDOW = 10
 #: Nodes of one automaton at most, of some 60 bytes each; a larger benchmark is dealt into several automata, scanned one
 #: after another. Windows of one item that stay together.
 AUTOMATON_NODES, PIECE = 4_000_000, 10_000
+#: The second sign of a word is one of so many: a node's edges are searched one by one, so no node may have many.
+SIGNS = 128
 
 #: Bytes 00-2F, 3A-40, 5B-60 and 7B-7F part words; A-Z become a-z; all others belong to words.
 _NORMAL = bytes(
@@ -38,36 +40,42 @@ def windows(words: list[bytes], width: int) -> list[tuple[bytes, ...]]:
     return [tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))] if words else []
 
 
+def _code(k: int) -> str:
+    """Two signs for the k-th word; those of the second place are no first ones, so words never match across their bounds."""
+    first = 1 + SIGNS + k // SIGNS
+    return chr(first if first < 0xD800 else first + 0x800) + chr(1 + k % SIGNS)
+
+
 class Automaton:
-    """Aho-Corasick over windows of words; each distinct word of the benchmark is a number, others are 0."""
+    """Aho-Corasick over windows of words; each distinct word of the benchmark has two signs, all others two NULs."""
 
     def __init__(self, items: list[tuple[str | None, str]], width: int) -> None:
-        self.numbers: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], tuple[str, ...]] = {}
+        self.codes: dict[bytes, str] = {}
+        owners: dict[str, tuple[str, ...]] = {}
         shared: dict[tuple, tuple] = {}  # one object for the many windows of an item
         for item_id, text in items:
             own = () if item_id is None else (item_id,)
             words = normal(text.encode()).split(b" ")
             for w in windows([w for w in words if w], width):
-                key = tuple(self.numbers.setdefault(x, len(self.numbers) + 1) for x in w)
+                key = "".join(self.codes.get(x) or self.codes.setdefault(x, _code(len(self.codes))) for x in w)
                 ids = tuple(sorted({*owners.get(key, ()), *own}))
                 owners[key] = shared.setdefault(ids, ids)
-        self.found = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        self.found = ahocorasick.Automaton()
         for key, ids in owners.items():
-            self.found.add_word(key, shared.setdefault((len(key), ids), (len(key), ids)))
+            self.found.add_word(key, shared.setdefault((len(key) // 2, ids), (len(key) // 2, ids)))
         if owners:
             self.found.make_automaton()
 
     def scan(self, text: bytes) -> tuple[int, list[tuple[int, int]], set[str]]:
         """Number of words, hit ranges of words [first, end) in order and disjoint, ids of items that occur."""
         words = normal(text).split()
-        if not words or not self.numbers:
+        if not words or not self.codes:
             return len(words), [], set()
         hit: list[tuple[int, int]] = []
         ids: set[str] = set()
         ranges = []
-        for last, (n, own) in self.found.iter(tuple(map(self.numbers.get, words, repeat(0)))):
-            ranges.append((last + 1 - n, last + 1))
+        for last, (n, own) in self.found.iter("".join(map(self.codes.get, words, repeat("\0\0")))):
+            ranges.append((last // 2 + 1 - n, last // 2 + 1))
             ids.update(own)
         for first, end in sorted(ranges):
             if hit and first <= hit[-1][1]:
@@ -108,7 +116,7 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, width: int, most:
     items = benchmark.select(F.col(id_col).cast("string").alias("id"), words.alias("w")).filter("size(w) > 0").distinct()
     starts = F.sequence(F.lit(0), F.floor((F.greatest(F.size("w") - width, F.lit(0))) / PIECE).cast("int"))
     pieces = items.select("id", F.explode(F.transform(starts, lambda i: F.slice("w", i * PIECE + 1, PIECE + width - 1))).alias("w"))
-    nodes = F.greatest(F.size("w") - (width - 1), F.lit(1)) * F.least(F.size("w"), F.lit(width))
+    nodes = F.greatest(F.size("w") - (width - 1), F.lit(1)) * F.least(F.size("w"), F.lit(width)) * 2
     total = pieces.agg(F.sum(nodes)).first()[0] or 0
     n = 1 + int(total) // most
     texts = pieces.select("id", F.array_join("w", " ").alias("text"), F.pmod(F.xxhash64("w"), F.lit(n)).alias("block"))
