@@ -165,7 +165,7 @@ class Lake:
             cost = packed.select("chunk_id", F.octet_length("data").alias("n")).join(owner, "chunk_id").groupBy(F.col("content_id").alias("id")).agg(F.sum("n").alias("stored"))
             form = known.groupBy("id").agg(F.min_by("stored_size", "ord").alias("was"))
             path = F.concat(F.lit(folder + "/"), "rel_path")
-            hits = chunking.put_results(raw, chunks, index).select(F.col("content_id").alias("id"), "hit_rate")
+            hits = chunking.put_results(raw, chunks.drop("payload"), index).select(F.col("content_id").alias("id"), "hit_rate")
             added = _numbered(rows.select("rel_path", "id", "mode", F.octet_length("content").cast("long").alias("size")), first)
             added = added.join(cost, "id", "left").join(form, "id", "left").join(hits, "id", "left")
             already = F.when(F.col("size") > 0, 100.0).otherwise(0.0)  # all blocks of a stored content are there
